@@ -93,7 +93,7 @@ def temperature(logits: np.ndarray, targets: np.ndarray) -> float:
     """The temperature with the least log loss on rows that were not fitted to."""
     if not len(targets):
         return 1.0
-    grid = np.exp(np.linspace(np.log(0.02), np.log(5), 120))
+    grid = np.exp(np.linspace(np.log(0.02), np.log(20), 160))
     loss = [-np.mean((s := logits / t)[np.arange(len(targets)), targets] - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) - s.max(1)) for t in grid]
     return float(grid[int(np.argmin(loss))])
 
@@ -139,7 +139,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     apart = [i for i in range(len(data)) if i % 5 == 0]
     fitted = [i for i in range(len(data)) if i % 5] or apart
     weights = ftrl([xs[i] for i in fitted], [ys[i] for i in fitted], len(labels)) if labels else np.zeros((0, 1 << BITS))
-    logits = np.array([weights[:, xs[i][0]] @ xs[i][1] for i in apart]).reshape(len(apart), -1)
+    logits = np.array([weights[:, xs[i][0]] @ xs[i][1] for i in apart]).reshape(len(apart), len(labels))
     return Model(labels, idf, weights, temperature(logits, np.array([ys[i] for i in apart], int)))
 
 

@@ -45,8 +45,9 @@ def _surroundings(texts: list[bytes]) -> dict[bytes, set[int]]:
     return found
 
 
-def toxic_words(toxic: list[bytes], ordinary: list[bytes], least: int = 10, ratio: float = 8.0) -> list[bytes]:
-    """Words with ``least`` surroundings or more in toxic texts, ``ratio`` times as many a text as in ordinary ones; the most telling last."""
+def toxic_words(toxic: list[bytes], ordinary: list[bytes], share: float = 0.008, ratio: float = 16.0) -> list[bytes]:
+    """Words with surroundings for at least ``share`` of the toxic texts (five at least), ``ratio`` times as many a text as in ordinary ones; the most telling last."""
+    least = max(5, share * len(toxic))
     in_toxic, in_ordinary = _surroundings(toxic), _surroundings(ordinary)
     rate = lambda w, found, n: (len(found.get(w, ())) + 0.5) / max(1, n)
     telling = {w: len(s) for w, s in in_toxic.items() if w and len(s) >= least and rate(w, in_toxic, len(toxic)) > ratio * rate(w, in_ordinary, len(ordinary))}
@@ -137,18 +138,19 @@ def fit(toxic: list[bytes], ordinary: list[bytes], size: int = 8, level: int = 1
     return model
 
 
-def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2500, **options) -> DataFrame:
+def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2000, **options) -> DataFrame:
     """doc_id, held_out, score and predicted of each row, from its whole text.
 
-    Labels are learned from at most ``sample`` learnable documents of either
-    label, those whose ids hash lowest; unlabelled rows are only scored.  Null
+    Labels are learned from at most ``sample`` toxic and twice as many ordinary
+    learnable documents, those whose ids hash lowest; unlabelled rows are only scored.  Null
     texts count as empty, which have a score as well; without labels of both
     kinds all scores are alike; repeated rows repeat; an empty table gives no
     rows.  The texts are not shuffled; the join for the sample carries ids."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
-    picked = sample_rows(labelled.where(learnable(F.col("doc_id"))), "doc_id", "y", sample)
-    rows = docs.join(F.broadcast(picked), "doc_id").where("text is not null").select("y", "text").collect()  # 2 x sample ids are broadcast
+    picked = sample_rows(labelled.where(learnable(F.col("doc_id"))), "doc_id", "y", 2 * sample)
+    picked = picked.where(F.col("y") == 0).union(sample_rows(picked.where(F.col("y") == 1), "doc_id", "y", sample))
+    rows = docs.join(F.broadcast(picked), "doc_id").where("text is not null").select("y", "text").collect()  # 3 x sample ids are broadcast
     texts = {y: sorted(r["text"].encode() for r in rows if r["y"] == y) for y in (0, 1)}
     shuffled = {y: [t[i] for i in np.random.default_rng(5).permutation(len(t))] for y, t in texts.items()}
     model = fit(shuffled[1], shuffled[0], **options)
