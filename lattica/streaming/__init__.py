@@ -1,0 +1,4 @@
+"""Nothing streams: the query language has no unbounded relation, watermark or window.
+
+Queries run on any DataFrame, so a stream's micro-batch can be bound as a table
+inside ``foreachBatch``."""
