@@ -87,7 +87,7 @@ class Transducer:
     time they are reached, so memory stays bounded and frequent ones, which
     come early, stay."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
         self.merges, self.limit = Merges(ranks), limit
         self.tokens = {t: r for t, r in ranks.items() if self._made(t)}
         self.bytes_of = {r: t for t, r in ranks.items()}
@@ -252,8 +252,8 @@ class Codec:
 
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
-        self.known = Memory(150_000)
-        self.pieces = PieceEncoder(lambda texts: [b"".join(map(self.match, self.split(t))) for t in texts])
+        self.known = Memory(200_000)
+        self.pieces = PieceEncoder(lambda texts: [b"".join(map(self.match, self.split(t))) for t in texts], limit=300_000)
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -300,8 +300,7 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
         codec = _codec(ranks, pattern)
         for batch in batches:
             counts, hashed, decoded = [], [], []
-            for text in batch.column(1):
-                ids = codec.encode(text.as_py() or "")
+            for ids in codec.pieces.encode_all(t.as_py() for t in batch.column(1)):
                 counts.append(len(ids) // 4)
                 hashed.append(hashlib.sha256(ids).hexdigest())
                 digest = hashlib.sha256()

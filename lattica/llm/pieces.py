@@ -10,7 +10,8 @@ saves most of the work without changing any result.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s) ")
@@ -50,25 +51,62 @@ class PieceEncoder:
     ``encode_many`` maps a list of strings, which join to a text that may be
     cut where they meet, to their ids as little-endian unsigned 32-bit
     integers in bytes.  Pieces longer than ``longest`` characters are encoded
-    anew each time, so memory stays bounded."""
+    anew each time, so memory stays bounded.  A full stop or comma after
+    letters is a match of its own, so such pieces are put together from two."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 200_000, longest: int = 64):
         self.encode_many, self.longest = encode_many, longest
         self.memory = Memory(limit)
+        self.marks: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = split_pieces(text)
-        memory = self.memory
-        found = list(map(memory.young.get, rest))
-        if None in found:
-            fresh = {p: memory.get(p) for p, ids in zip(rest, found) if ids is None}
-            missing = [p for p, ids in fresh.items() if ids is None]
-            if missing:
-                fresh.update(zip(missing, self.encode_many([" " + p for p in missing])))
-                for p in missing:
-                    if len(p) <= self.longest:
-                        memory.put(p, fresh[p])
-            found = [fresh[p] if ids is None else ids for p, ids in zip(rest, found)]
-        return (self.encode_many([first])[0] if first else b"") + b"".join(found)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None], step: int = 64) -> Iterator[bytes]:
+        """The ids of each text, null ones as empty; pieces that ``step`` texts lack are encoded together."""
+        texts = iter(texts)
+        while some := [split_pieces(t or "") for t in islice(texts, step)]:
+            needed: set[str] = set()
+            for pieces in some:
+                needed.update(pieces[1:])
+            young = self.memory.young
+            fresh = self._fresh([p for p in needed if p not in young])
+            for first, *rest in some:
+                young = self.memory.young
+                try:
+                    ids = b"".join(map(young.__getitem__, rest))
+                except KeyError:  # a long piece, or the memory has turned over since
+                    old = self.memory.old
+                    ids = b"".join([fresh.get(p) or young.get(p) or old.get(p) or self._fresh([p])[p] for p in rest])
+                yield (self.encode_many([first])[0] if first else b"") + ids
+
+    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that the young memory lacks."""
+        memory, out, missing, marked = self.memory, {}, {}, []
+        for p in pieces:
+            found = memory.get(p)
+            if found is not None:
+                out[p] = found
+            elif p[-1:] in (".", ",") and p[:-1].isalpha():
+                marked.append(p)
+                word = p[:-1]
+                found = memory.young.get(word) or memory.get(word)
+                if found is None:
+                    missing[word] = None
+                else:
+                    out[word] = found
+            else:
+                missing[p] = None
+        if missing:
+            out.update(zip(missing, self.encode_many([" " + p for p in missing])))
+            for p in missing:
+                if len(p) <= self.longest:
+                    memory.put(p, out[p])
+        for p in marked:
+            mark = p[-1]
+            if mark not in self.marks:
+                self.marks[mark] = self.encode_many([mark])[0]
+            out[p] = out[p[:-1]] + self.marks[mark]
+            if len(p) <= self.longest:
+                memory.put(p, out[p])
+        return out

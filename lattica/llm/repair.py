@@ -229,7 +229,7 @@ def _encoder(path: str):
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
-    return PieceEncoder(many), size
+    return PieceEncoder(many, limit=350_000), size
 
 
 WRITTEN = "part int, block int, before long, n_ids long, n_docs int, content binary"
@@ -266,8 +266,8 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(encoder.encode(text.as_py()))
+            for doc, encoded in zip(batch.column(0).to_pylist(), encoder.encode_all(t.as_py() for t in batch.column(1))):
+                ids.append(encoded)
                 held.append(doc)
                 count += len(ids[-1]) // 4 + 1
                 if count >= block_ids:
