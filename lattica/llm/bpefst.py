@@ -88,7 +88,7 @@ class Transducer:
     come early, stay."""
 
     def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
-        self.merges, self.limit = Merges(ranks), limit
+        self.merges, self.limit, self.pairs_limit = Merges(ranks), limit, max(10_000, limit * 5 // 3)
         self.tokens = {t: r for t, r in ranks.items() if self._made(t)}
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.packed = {r: array("I", (r,)).tobytes() for r in ranks.values()}
@@ -141,7 +141,7 @@ class Transducer:
         key = last << 20 | token
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) > self.pairs_limit:
                 self._pairs.clear()
             found = self._pairs[key] = self.merges.stays(self.bytes_of[last], self.bytes_of[token])
         return found
@@ -155,7 +155,7 @@ class Transducer:
         key = before << 20 | node
         found = self._alive.get(key)
         if found is None:
-            if len(self._alive) > 500_000:
+            if len(self._alive) > self.pairs_limit:
                 self._alive.clear()
             few = self.below[node]
             found = self._alive[key] = len(few) > self.FEW or any(self._fits(before, t) for t in few)
@@ -247,13 +247,14 @@ class StreamDecoder:
 class Codec:
     """Encodes and decodes whole texts by a rank file and a splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: float = 1.0):
+        """``memory`` scales all tables; at 1 they take up to about 500 MB."""
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer(ranks)
-        self.known = Memory(200_000)
-        self.pieces = PieceEncoder(lambda texts: [b"".join(map(self.match, self.split(t))) for t in texts], limit=300_000)
+        self.transducer = Transducer(ranks, int(300_000 * memory))
+        self.known = Memory(int(200_000 * memory))
+        self.pieces = PieceEncoder(lambda texts: [b"".join(map(self.match, self.split(t))) for t in texts], limit=int(300_000 * memory))
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -281,23 +282,24 @@ class Codec:
         yield decoder.close()
 
 
-@functools.lru_cache(maxsize=2)
-def _codec(ranks: str, pattern: str) -> Codec:
+@functools.lru_cache(maxsize=1)
+def _codec(ranks: str, pattern: str, memory: float) -> Codec:
     """A worker process keeps its codec, and so the states it has built, from task to task."""
-    return Codec(load_ranks(ranks), pattern)
+    return Codec(load_ranks(ranks), pattern, memory)
 
 
-def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memory: float = 1.0) -> DataFrame:
     """Encode every whole text and decode its ids: doc_id, n_tokens,
     ids_sha256 (ids as little-endian unsigned 32-bit integers) and
     decoded_sha256 (the decoded bytes).
 
     Null texts count as empty, which have no ids.  Rows that repeat give
     rows that repeat; ids may be null; an empty table gives no rows.  No
-    shuffle: memory is bounded by the codec's tables and one batch."""
+    shuffle: memory is bounded by the codec's tables, which ``memory`` scales
+    and which a worker process keeps from task to task, and one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks, pattern)
+        codec = _codec(ranks, pattern, memory)
         for batch in batches:
             counts, hashed, decoded = [], [], []
             for ids in codec.pieces.encode_all(t.as_py() for t in batch.column(1)):

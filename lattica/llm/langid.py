@@ -129,12 +129,14 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(np.flatnonzero(c), c[c > 0]) for c in (ngram_counts(t.as_py()) for t in batch.column(1))]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.int64()), "label": batch.column(2), "index": pa.array([m[0] for m in made], pa.list_(pa.int64())), "count": pa.array([m[1] for m in made], pa.list_(pa.int64()))})
+            made = [(np.flatnonzero(c).astype("<u2").tobytes(), c[c > 0].astype("<u4").tobytes()) for c in (ngram_counts(t.as_py()) for t in batch.column(1))]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(2), "index": pa.array([m[0] for m in made], pa.binary()), "count": pa.array([m[1] for m in made], pa.binary())})
 
-    data = sorted(chosen.select(F.col("id").cast("long").alias("id"), "text", "label").mapInArrow(vectors, "id long, label string, index array<long>, count array<long>").collect(), key=lambda r: (r["label"], r["id"] is None, r["id"] or 0, r["index"], r["count"]))
+    # Packed, so that the sample takes a few dozen MB on the driver whatever the texts' lengths.
+    sent = chosen.select(F.col("id").cast("long").alias("id"), "text", "label").mapInArrow(vectors, "id long, label string, index binary, count binary")
+    data = sorted((r.asDict() for r in sent.collect()), key=lambda r: (r["label"], r["id"] is None, r["id"] or 0, bytes(r["index"]), bytes(r["count"])))
     labels = sorted({r["label"] for r in data})
-    xs = [_vector(np.array(r["index"], np.int64), np.array(r["count"], float), idf) for r in data]
+    xs = [_vector(np.frombuffer(r["index"], "<u2").astype(np.int32), np.frombuffer(r["count"], "<u4"), idf) for r in data]
     ys = [labels.index(r["label"]) for r in data]
     apart = [i for i in range(len(data)) if i % 5 == 0]
     fitted = [i for i in range(len(data)) if i % 5] or apart
