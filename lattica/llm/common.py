@@ -1,45 +1,17 @@
-"""Helpers that the operators share: the shared folder, lineage cuts, sampling."""
+"""Helpers that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.sources.shared import cut, new_path, shared_dir  # noqa: F401
+
 #: ASCII white space that separates words: exactly what ``bytes.split()`` splits at.
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` when the cluster names one; only a session
-    without it (a test, say) gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that
-    survives the loss of any executor and lets later reads prune columns."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,11 +37,15 @@ def sample_rows(df: DataFrame, id_col: str, strata: str, per_stratum: int) -> Da
     hashes lowest, so reruns agree whatever the partitioning.
 
     Rows are first thinned by a hash threshold taken from the strata's exact
-    counts, so that only about twice the wanted rows are ranked."""
+    counts, so that only about twice the wanted rows are dealt and ranked.
+    The counts are broadcast where there are at most 10,000 strata."""
     from pyspark.sql import Window
 
     rank = F.xxhash64(F.col(id_col), F.lit("sample"))
     counts = df.groupBy(strata).agg(F.count(F.lit(1)).alias("__n"))
+    few = counts.limit(10_001).collect()
+    if len(few) <= 10_000:
+        counts = F.broadcast(df.sparkSession.createDataFrame(few, counts.schema))
     share = F.least(F.lit(1.0), F.lit(2.0 * per_stratum + 64) / F.col("__n"))
     at = (F.col("__rank").cast("double") / F.lit(2.0**64)) + F.lit(0.5)
     thin = df.withColumn("__rank", rank).join(counts, strata).where(at <= share)
