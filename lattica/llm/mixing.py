@@ -69,8 +69,11 @@ def copies(rows: DataFrame, narrow: DataFrame, seed: str, weights: tuple[float,
 
     ``narrow`` has the same rows, from a cheap source: it is read for the counts."""
     stretches = narrow.groupBy(*_STRETCH).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    along = Window.partitionBy("no_source", "src").orderBy("magnitude", "stretch").rowsBetween(Window.unboundedPreceding, -1)
-    before = stretches.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).join(targets(stretches, weights), ["no_source", "src"])
+    # Sums over whole magnitudes of a source (64 rows at most), then over whole stretches of a magnitude (4,096 at most).
+    upto = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    magnitudes = stretches.groupBy(*_STRETCH[:3]).agg(F.sum("n").alias("n")).withColumn("below", upto(*_STRETCH[:3])).drop("n")
+    before = stretches.withColumn("within", upto(*_STRETCH)).join(magnitudes.join(targets(stretches, weights), _STRETCH[:2]), _STRETCH[:3])
+    before = before.withColumn("before", F.col("below") + F.col("within"))
     rank = F.row_number().over(Window.partitionBy(*_STRETCH).orderBy("place", "size"))
     rows = rows.withColumn("rank", rank).join(before.select(*_STRETCH, "before", "source_size", "target"), _STRETCH)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.when(F.col("no_source"), "0").otherwise(F.concat(F.lit("1"), F.col("src")))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
