@@ -44,6 +44,12 @@ class Memory:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def update(self, found: dict) -> None:
+        """Puts many at once; what goes beyond ``limit`` is not kept."""
+        if len(self.young) + len(found) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(found if len(found) <= self.limit else islice(found.items(), self.limit))
+
 
 class PieceEncoder:
     """Encodes texts through a memory of at most twice ``limit`` pieces.
@@ -66,31 +72,26 @@ class PieceEncoder:
         """The ids of each text, null ones as empty; pieces that ``step`` texts lack are encoded together."""
         texts = iter(texts)
         while some := [split_pieces(t or "") for t in islice(texts, step)]:
-            needed: set[str] = set()
-            for pieces in some:
-                needed.update(pieces[1:])
-            young = self.memory.young
-            fresh = self._fresh([p for p in needed if p not in young])
-            for first, *rest in some:
-                young = self.memory.young
-                try:
-                    ids = b"".join(map(young.__getitem__, rest))
-                except KeyError:  # a long piece, or the memory has turned over since
-                    old = self.memory.old
-                    ids = b"".join([fresh.get(p) or young.get(p) or old.get(p) or self._fresh([p])[p] for p in rest])
-                yield (self.encode_many([first])[0] if first else b"") + ids
+            firsts = [pieces.pop(0) for pieces in some]
+            known = self.memory.young.get
+            found = [list(map(known, pieces)) for pieces in some]
+            fresh = self._fresh(list({p for pieces, ids in zip(some, found) for p, i in zip(pieces, ids) if i is None}))
+            for first, pieces, ids in zip(firsts, some, found):
+                rest = b"".join([i or fresh[p] for p, i in zip(pieces, ids)])
+                yield self.encode_many([first])[0] + rest if first else rest
 
     def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of pieces that the young memory lacks."""
-        memory, out, missing, marked = self.memory, {}, {}, []
+        memory, longest, out, missing, marked = self.memory, self.longest, {}, {}, []
+        young, old = memory.young, memory.old
         for p in pieces:
-            found = memory.get(p)
+            found = old.get(p)
             if found is not None:
                 out[p] = found
             elif p[-1:] in (".", ",") and p[:-1].isalpha():
                 marked.append(p)
                 word = p[:-1]
-                found = memory.young.get(word) or memory.get(word)
+                found = young.get(word) or old.get(word)
                 if found is None:
                     missing[word] = None
                 else:
@@ -99,14 +100,10 @@ class PieceEncoder:
                 missing[p] = None
         if missing:
             out.update(zip(missing, self.encode_many([" " + p for p in missing])))
-            for p in missing:
-                if len(p) <= self.longest:
-                    memory.put(p, out[p])
         for p in marked:
             mark = p[-1]
             if mark not in self.marks:
                 self.marks[mark] = self.encode_many([mark])[0]
             out[p] = out[p[:-1]] + self.marks[mark]
-            if len(p) <= self.longest:
-                memory.put(p, out[p])
+        memory.update({p: ids for p, ids in out.items() if len(p) <= longest})
         return out

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -208,26 +209,57 @@ class Block:
         return self.end_id if x == self.terminals - 1 else x
 
 
+# Fixed values of byte-level vocabularies: the character that each byte is written as, and the pattern of matches.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+MATCHES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+", re.ASCII).findall
+#: Pieces of ASCII and Latin letters, on which ``MATCHES`` is the pattern whatever the version of Unicode.
+PLAIN = re.compile(rf"[\x00-\x7f{_LETTER}]*").fullmatch
+#: Stands between matches; no byte is written so.
+BORDER = "\uffff"
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str):
     """A worker process keeps its encoder, and the pieces it knows, from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+    tokenizer, merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = merger.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+    merger.pre_tokenizer = CharDelimiterSplit(BORDER)  # for matches whose bytes are written as characters already
     size = tokenizer.get_vocab_size(with_added_tokens=True)
     # Byte-level tokens are written one character for each byte.
     widths = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)])
 
+    def ids_of(encoding, lengths: list[int]) -> list[bytes]:
+        """The ids of pieces of ``lengths`` bytes: borders of pieces are borders of tokens, found by counting bytes."""
+        ids = np.array(encoding.ids, np.uint32)
+        ends = (np.searchsorted(np.cumsum(widths[ids]), np.cumsum(lengths)) + 1).tolist()
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+
     def many(texts: list[str]) -> list[bytes]:
-        """All pieces in one call: borders of pieces are borders of tokens, found by counting bytes."""
-        if len(texts) == 1 or not all(t.startswith(" ") for t in texts):
+        """Pieces of plain characters are split here and only merged by the library; others take its whole way."""
+        if len(texts) == 1 or not all([t[:1] == " " for t in texts]):
             return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array(tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.searchsorted(np.cumsum(widths[ids]), np.cumsum([len(t.encode()) for t in texts])) + 1
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        words, plain, rest = [], [], []
+        for t in texts:
+            (words if t.isascii() and t[1:].isalpha() else plain if PLAIN(t) else rest).append(t)
+        out: dict[str, bytes] = {}
+        if words:
+            text = "".join(words).replace(" ", BORDER + BYTES[32])[1:]
+            out.update(zip(words, ids_of(merger.encode_batch_fast([text], add_special_tokens=False)[0], [len(t) for t in words])))
+        if plain:
+            coded = [t.encode() for t in plain]
+            text = BORDER.join([m.encode().decode("latin-1") for t in plain for m in ((t,) if t[1:].isalpha() else MATCHES(t))]).translate(BYTES)
+            out.update(zip(plain, ids_of(merger.encode_batch_fast([text], add_special_tokens=False)[0], [len(c) for c in coded])))
+        if rest:
+            coded = [t.encode() for t in rest]
+            out.update(zip(rest, ids_of(tokenizer.encode_batch_fast(["".join(rest)], add_special_tokens=False)[0], [len(c) for c in coded])))
+        return [out[t] for t in texts]
 
     return PieceEncoder(many, limit=350_000), size
 

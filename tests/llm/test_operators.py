@@ -75,6 +75,16 @@ def test_shards_hold_all_ids_in_order(documents, odd):
     assert repair.encode_to_shards(empty(odd), P.path("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_shards_split_like_the_library():
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    r = random.Random(7)
+    alphabet = [*"abest XY019  .,'!?-_&<>|\n\n\t\x0b\x00\x1c\x1f\x7f\x85éÀßñ×÷ªµɏɐı\u3000中ñ😀\uffff", "'s", "'re", "<|endoftext|>", " the", "ing"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(5000)]
+    want = [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert list(repair._encoder(P.path("byte_bpe_50k.json"))[0].encode_all(texts)) == want
+
+
 def test_repair_is_lossless_and_reads_at_random():
     r = np.random.default_rng(1)
     docs = [r.integers(0, 4, n).astype("<u4") for n in (0, 1, 2, 3, 500, 3000)] + [np.zeros(999, "<u4")]
