@@ -41,18 +41,22 @@ MAGIC = b"RPG1"
 HEAD = struct.Struct("<4s4IQ")
 
 
-def _frequent(pairs: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent values of ``pairs``, most frequent first, each found ``least`` times or more."""
-    ordered = np.sort(pairs)
+def _frequent(pairs: np.ndarray, most: int, least: int, end: int) -> np.ndarray:
+    """The most frequent values of ``pairs``, most frequent first, each found
+    ``least`` times or more; none has the symbol ``end`` in a half."""
+    ordered, half = np.sort(pairs), 4 * pairs.itemsize
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(starts, len(ordered)))
     picked = np.flatnonzero(counts >= least)
-    picked = picked[np.lexsort((ordered[starts[picked]], -counts[picked]))][:most]
-    return ordered[starts[picked]]
+    values = ordered[starts[picked]]
+    inside = (values >> values.dtype.type(half) != end) & (values & values.dtype.type((1 << half) - 1) != end)
+    picked, values = picked[inside], values[inside]
+    return values[np.lexsort((values, -counts[picked]))][:most]
 
 
 def _slot(pairs: np.ndarray, bits: int) -> np.ndarray:
-    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    kind, size = pairs.dtype.type, 8 * pairs.itemsize
+    return (pairs * kind(0x9E3779B97F4A7C15 >> 64 - size | 1)) >> kind(size - bits)
 
 
 def compress(symbols: np.ndarray, terminals: int, rounds: int = 4, per_round: int = 2048, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +66,15 @@ def compress(symbols: np.ndarray, terminals: int, rounds: int = 4, per_round: in
     where chosen pairs overlap, the one further left is replaced.  Pairs
     with the end symbol ``terminals - 1`` are never named.  Rounds stop when
     no pair occurs ``least`` times."""
-    seq, rules, end = symbols.astype(np.uint32), [], terminals - 1
+    end = terminals - 1
+    # A pair is one number of two halves; half words hold all symbols but those of very large vocabularies.
+    symbol, kind = (np.uint16, np.uint32) if terminals + rounds * per_round < 1 << 16 else (np.uint32, np.uint64)
+    seq, rules, half = symbols.astype(symbol), [], kind(8 * np.dtype(symbol).itemsize)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inside = (seq[:-1] != end) & (seq[1:] != end)
-        top = _frequent(pairs[inside], per_round, least) if inside.any() else pairs[:0]
+        pairs = (seq[:-1].astype(kind) << half) | seq[1:]
+        top = _frequent(pairs, per_round, least, end)
         if not len(top):
             break
         # A table of slots finds the rule of each pair; of pairs that share a slot, the more frequent has it.
@@ -78,7 +84,7 @@ def compress(symbols: np.ndarray, terminals: int, rounds: int = 4, per_round: in
         top = top[np.sort(first)]
         table = np.full(1 << bits, len(top), np.int32)
         table[_slot(top, bits)] = np.arange(len(top))
-        known = np.append(top, np.uint64(0xFFFFFFFFFFFFFFFF))
+        known = np.append(top, ~kind(0))
         rule = table[_slot(pairs, bits)]
         hits = np.flatnonzero(known[rule] == pairs)
         # In a run of overlapping hits, every other one is replaced.
@@ -87,12 +93,12 @@ def compress(symbols: np.ndarray, terminals: int, rounds: int = 4, per_round: in
         place = np.arange(len(hits)) - np.repeat(run, np.diff(np.append(run, len(hits))))
         hits = hits[place % 2 == 0]
         base = terminals + sum(map(len, rules))
-        seq[hits] = base + rule[hits].astype(np.uint32)
+        seq[hits] = base + rule[hits]
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([(top >> np.uint64(32)).astype(np.uint32), (top & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1))
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
+        rules.append(np.stack([top >> half, top & ~(~kind(0) << half)], axis=1).astype(np.uint32))
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq.astype(np.uint32)
 
 
 def pack(doc_ids: list[int | None], ids: list[bytes], vocabulary: int, **limits) -> bytes:
