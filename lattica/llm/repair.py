@@ -267,7 +267,7 @@ def _encoder(path: str):
             out.update(zip(rest, ids_of(tokenizer.encode_batch_fast(["".join(rest)], add_special_tokens=False)[0], [len(c) for c in coded])))
         return [out[t] for t in texts]
 
-    return PieceEncoder(many, limit=350_000), size
+    return PieceEncoder(many, limit=600_000), size
 
 
 WRITTEN = "part int, block int, before long, n_ids long, n_docs int, content binary"
