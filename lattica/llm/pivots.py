@@ -49,7 +49,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     lengths.  Equal vectors go through the index once and count with their
     number.  Rows that repeat count as vectors of their own; null ids form
     components that have an id if any member has one."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
+    vector = F.col(vector_col) if dict(df.dtypes)[vector_col] == "array<float>" else F.col(vector_col).cast("array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("x"))  # floats travel as such, cosines are in doubles
     fine = F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0), F.lit(False))
     rows = cut(rows.select("vec_id", F.when(fine, F.col("x")).alias("x")).withColumn("node", F.when(fine, F.xxhash64("x"))), "vectors")
     vectors = cut(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.first("x").alias("x")).withColumn("dim", F.size("x")), "distinct")
@@ -61,21 +62,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, n, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            dims = batch.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == d)
-                x = np.array([batch.column(2)[int(i)].as_py() for i in at])
-                own = shared.value[d]
-                near = np.sort(nearest(x, own, min(k, len(own))), axis=1)
+                part = batch.filter(pa.array(dims == d))
+                x = part.column("x").flatten().to_numpy().reshape(-1, d)
+                near = np.sort(nearest(x, shared.value[d], min(k, len(shared.value[d]))), axis=1)
                 if near.shape[1] < 2:
                     near = np.column_stack([near, near + 1])
-                a, b = np.triu_indices(near.shape[1], 1)
-                for start in range(0, len(at), 256):
-                    part = near[start : start + 256]
-                    keys = (np.int64(d) * _PIVOTS + part[:, a]) * _PIVOTS + part[:, b]
-                    rep = np.repeat(np.arange(start, start + len(part)), len(a))
-                    lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), pa.array(v.ravel(), kind))
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "node": pa.array(nodes[at][rep]), "n": pa.array(n[at][rep]), "x": lists(x[rep], pa.float64()), "near": lists(near[rep], pa.int32())})
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.ravel(), pa.int16()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n", "x", "dim")), lists], names=["node", "n", "x", "dim", "near"])
 
     def compare(c: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
         unit, near = _unit(c["x"]), c["near"]
@@ -104,8 +99,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         at = np.flatnonzero(full.any(axis=1))
         return pa.RecordBatch.from_pydict({"node": pa.array(c["node"][at]), "links": pa.array(counts[at].astype(np.int64)), "root": pa.array(c["node"][forest(full)[at]])})
 
-    entries = vectors.select("node", "n", "x", "dim").mapInArrow(describe, "key long, node long, n long, x array<double>, near array<int>")
-    found = cut(map_cells(bucket_cells(cut(entries, "lists"), "key", "node", block), "key", compare, "node long, links long, root long"), "links")
+    kind = vectors.schema["x"].dataType.simpleString()
+    described = cut(vectors.select("node", "n", "x", "dim").mapInArrow(describe, f"node long, n long, x {kind}, dim int, near array<smallint>"), "described")
+    # Lists are dealt to cells without the vectors, which join them once the cells are known.
+    pair = f"(dim * {_PIVOTS}L + near[i]) * {_PIVOTS}L + z"
+    keys = F.expr(f"flatten(transform(sequence(0, size(near) - 2), i -> transform(slice(near, i + 2, size(near)), z -> {pair})))")
+    cells = bucket_cells(cut(described.select("node", F.explode(keys).alias("key")), "lists"), "key", "node", block)
+    found = cut(map_cells(cells.join(described.drop("dim"), "node"), "key", compare, "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     members = vectors.select("node", "n", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
