@@ -121,3 +121,19 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def keep_rows(df: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with one row of each class, of the smallest id.
+
+    ``members`` has doc_id, version (xxhash64 of the text), root and
+    component_id of each row.  Of rows of one class that repeat its smallest
+    id, that of the lowest hash stays; classes that share an id keep a row
+    each.  Rows without an id can't stand for a class and all stay."""
+    stays = members.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("root").alias("__root")).distinct()
+    id_, names = F.col(f"`{id_col}`"), df.columns
+    named = df.where(id_.isNotNull()).withColumn("__hash", F.xxhash64(*(F.col(f"`{c}`") for c in names)))
+    kept = named.join(stays, (id_.cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__version")))
+    lowest = kept.groupBy("__root").agg(F.min("__hash").alias("__lowest"))
+    kept = kept.join(lowest.withColumnRenamed("__root", "__r"), (F.col("__root") == F.col("__r")) & (F.col("__hash") == F.col("__lowest")))
+    return kept.dropDuplicates(["__root"]).select(*(F.col(f"`{c}`") for c in names)).union(df.where(id_.isNull()))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lattica.llm import bpefst, crf, langid, linedel, linking, mixing, pieces, pivots, queries, repair, simhash, urlbloom, zdist
+from lattica.llm import bpefst, crf, jaccard, langid, linedel, linking, mixing, pieces, pivots, queries, repair, simhash, urlbloom, zdist
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, __n string, rank int, line string"
 ODD_ROWS = [
@@ -498,3 +498,42 @@ def test_sql_agrees(spark, sf):
         assert sorted(got.columns) == sorted(want.columns)
         as_rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(pd.notna, None).itertuples(index=False, name=None)))
         assert as_rows(got) == as_rows(want), name
+
+
+# Jaccard ------------------------------------------------------------------------------------------
+
+
+def near_texts():
+    """Texts with copies at all distances, a group of near copies and texts that share a passage."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(r.choice([3, 5, 12, 60, 150]))) for _ in range(60)]
+    for t in texts[:40] + [texts[50]] * 40:
+        w = t.split()
+        for _ in range(r.randint(0, max(1, len(w) // 25))):
+            w[r.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    passage = " ".join(word() for _ in range(30))
+    texts += [passage + " " + " ".join(word() for _ in range(60)) for _ in range(30)]
+    return [*texts, texts[0].upper(), "", None, " "]
+
+
+def plain_jaccard_roots(texts):
+    sets = []
+    for t in texts:
+        w = words((t or "").lower())
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set()))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return plain_components(len(sets), pairs), pairs
+
+
+def test_pipeline_finds_all_pairs_of_jaccard(spark, sf, odd):
+    import corpus_pipeline
+
+    texts = near_texts()
+    roots, pairs = plain_jaccard_roots(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(pairs) > 100
+    assert dict(jaccard.classes(df).collect()) == dict(enumerate(roots))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()) == sorted(set(roots))
+    assert jaccard.classes(empty(odd)).count() == 0 and jaccard.keep_one(odd).columns == odd.columns
