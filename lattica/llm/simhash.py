@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import binary_list, cut
-from lattica.llm.linking import bucket_cells, components, forest, map_cells
+from lattica.llm.linking import bucket_cells, components, forest, keep_rows, map_cells
 
 BITS = 64
 #: Estimated seconds for a key (dealt, sorted and read) and for a pair (compared in bulk).
@@ -53,9 +53,10 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, shingle) for t in binary_list(batch.column(1))], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([fingerprint(t, shingle) for t in binary_list(batch.column(2))], pa.int64())], names=["doc_id", "version", "fp"])
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(f"`{text_col}`")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(run, "doc_id long, version long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -175,6 +176,15 @@ def links(fps: DataFrame, most: int = 4, block: int = 1024) -> DataFrame:
     return map_cells(bucket_cells(cut(keys, "keys"), "key", "fp", block), "key", compare, "a long, b long")
 
 
+def _members(df: DataFrame, id_col: str, text_col: str, shingle: int = 4, most: int = 4) -> DataFrame:
+    found = cut(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(links(distinct, most))
+    members = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    return found.join(members.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row.
 
@@ -182,21 +192,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     like any other.  Equal fingerprints go through the search once.
     component_id is the smallest id reachable, null only where no member has
     an id.  Repeated rows repeat; an empty table gives no rows."""
-    found = cut(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct, most))
-    members = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = members.join(smallest, "root").select("fp", "component_id")
-    return found.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _members(df, id_col, text_col, shingle, most).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with one document of each class, that of the smallest id.
-
-    Rows that repeat an id count as one document, of which one row stays;
-    rows without an id can't stand for a class and all stay."""
-    stays = classes(df, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    named = df.where(F.col(f"`{id_col}`").isNotNull())
-    kept = named.join(stays, named[f"`{id_col}`"].cast("long") == F.col("__stays"), "left_semi").dropDuplicates([id_col])
-    return kept.union(df.where(F.col(f"`{id_col}`").isNull()))
+    """``df`` with one document of each class, as ``linking.keep_rows`` picks it."""
+    return keep_rows(df, _members(df, id_col, text_col, **options), id_col, text_col)

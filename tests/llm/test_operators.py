@@ -537,3 +537,22 @@ def test_pipeline_finds_all_pairs_of_jaccard(spark, sf, odd):
     assert dict(jaccard.classes(df).collect()) == dict(enumerate(roots))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()) == sorted(set(roots))
     assert jaccard.classes(empty(odd)).count() == 0 and jaccard.keep_one(odd).columns == odd.columns
+
+
+def test_texts_that_share_an_id_both_stay(spark):
+    a, b = ("one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen sixteen")
+    df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, b), (None, a)], "doc_id long, text string")
+    for keep in (simhash.keep_one, jaccard.keep_one):
+        assert rows(keep(df)) == sorted([(1, a), (1, b), (None, a)], key=repr)
+
+
+def test_registered_lines_of_five_words_have_near_partners(spark, tmp_path):
+    r = random.Random(12)
+    lines = [" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(r.randint(4, 12))) for _ in range(60)]
+    for line in lines[:40]:
+        w = line.split()
+        w[r.randrange(len(w))] = "new"
+        lines.append(" ".join(w))
+    docs = [(i, line) for i, line in enumerate(lines)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(queries.op8_line_dedup(spark, str(tmp_path))) == plain_dedup(docs, near=5) != plain_dedup(docs)
