@@ -51,7 +51,7 @@ def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedel.summary(_table(spark, sf_dir, "documents"))
+    return linedel.summary(_table(spark, sf_dir, "documents"), near_words=5)
 
 
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
