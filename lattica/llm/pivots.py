@@ -39,12 +39,26 @@ def n_pivots(n: int, most: int = 4096) -> int:
     return int(min(most, max(8, math.ceil(1.2 * math.sqrt(n)))))
 
 
+def spread(x: np.ndarray, most: int, least: float) -> np.ndarray:
+    """Places of the first ``most`` rows of which no two have a cosine of ``least`` or more, so that a dense group has one pivot, not its share."""
+    unit, picked = _unit(x), []
+    free = np.ones(len(x), bool)
+    for at in range(len(x)):
+        if free[at]:
+            picked.append(at)
+            if len(picked) == most:
+                break
+            free[at + 1 :] &= unit[at + 1 :] @ unit[at] < least
+    return np.array(picked, int)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, k: int = 8, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row.
 
     Pivots are a bounded sample: 1.2 times the root of the number of
-    different vectors of a length, 4,096 at most, those that hash lowest;
-    all vectors are indexed.  Vectors that are null, zero or hold null or
+    different vectors of a length, 4,096 at most: those that hash lowest of
+    four times as many, without any that another pivot links with, so that a
+    dense group can't take many.  All vectors are indexed.  Vectors that are null, zero or hold null or
     non-finite components link with nothing, and so do vectors of different
     lengths.  Equal vectors go through the index once and count with their
     number.  Rows that repeat count as vectors of their own; null ids form
@@ -56,8 +70,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors = cut(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.first("x").alias("x")).withColumn("dim", F.size("x")), "distinct")
 
     counts = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}  # one row per length of vector
-    chosen = sample_rows(vectors.select("node", "x", "dim"), "node", "dim", n_pivots(max(counts.values(), default=0))).collect()
-    pivots = {d: np.array([r["x"] for r in sorted((r for r in chosen if r["dim"] == d), key=lambda r: r["node"])][: n_pivots(counts[d])]) for d in counts}
+    chosen = sample_rows(vectors.select("node", "x", "dim"), "node", "dim", 4 * n_pivots(max(counts.values(), default=0))).collect()
+    sampled = {d: np.array([r["x"] for r in sorted((r for r in chosen if r["dim"] == d), key=lambda r: r["node"])][: 4 * n_pivots(counts[d])]) for d in counts}
+    pivots = {d: x[spread(x, n_pivots(counts[d]), least)] for d, x in sampled.items()}
     shared = df.sparkSession.sparkContext.broadcast(pivots)  # 4,096 vectors of each length at most
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -556,3 +556,15 @@ def test_registered_lines_of_five_words_have_near_partners(spark, tmp_path):
     docs = [(i, line) for i, line in enumerate(lines)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(queries.op8_line_dedup(spark, str(tmp_path))) == plain_dedup(docs, near=5) != plain_dedup(docs)
+
+
+def test_vectors_of_one_dense_group_are_found(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(12_000, 64))
+    x[:4000] = r.normal(size=64) + r.normal(size=(4000, 64)) * 0.2
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    true = (unit @ unit.T >= 0.95).sum() - len(x)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = pivots.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    assert 0.97 * true <= got <= true + 20  # 20: cosines that rounding puts on the bound
