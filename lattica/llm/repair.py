@@ -1,26 +1,28 @@
 """Token ids as Re-Pair compressed shards (operator 1).
 
 Documents are dealt to shards by ranges of their id, encoded with a public
-tokenizer and stored in blocks.  Each block carries a grammar: in rounds, the
-most frequent pairs of neighbouring ids are replaced by new symbols, and the
-rules are kept with the number of ids that each symbol expands to, so that one
-document, or one id inside a document, is read without expanding the rest.
-
-Block format (little-endian), magic ``RPG1``:
+tokenizer and stored in blocks.  Each block carries a grammar: the most
+frequent pairs of neighbouring ids are replaced by new symbols, until no pair
+is frequent, and the rules are kept with the number of ids that each symbol
+expands to, so that one document, or one id inside a document, is read without
+expanding the rest.  Blocks know their first and last document id, so one
+document is found without reading all blocks.
+
+Block format (little-endian), magic ``RPG2``:
   header      4 x u32 after the magic: documents, rules, symbols, terminals
               and u64: ids of all documents
+  alphabet    terminals x u32, the ids that terminals stand for, the end last
   rules       rules x 2 x u32, the two symbols a rule stands for
   lengths     rules x u32, ids that the rule expands to
   doc ids     documents x i64, then documents x u8: 1 if the id is null
   offsets     (documents + 1) x u32, first symbol of each document
   symbols     u16 each if terminals + rules <= 65536, else u32
-Terminals below ``terminals - 1`` are token ids; ``terminals - 1`` is the end
-of a document and reads back as the end id.  No rule spans documents.
+The terminal ``terminals - 1`` is the end of a document and reads back as the
+end id.  No rule spans documents.
 """
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
@@ -31,87 +33,125 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import new_path, partitions
+from lattica.llm.common import column, in_arrow, kept, new_path, partitions
 from lattica.llm.pieces import PieceEncoder
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 HEAD = struct.Struct("<4s4IQ")
 
 
-def _frequent(pairs: np.ndarray, most: int, least: int, end: int) -> np.ndarray:
-    """The most frequent values of ``pairs``, most frequent first, each found
-    ``least`` times or more; none has the symbol ``end`` in a half."""
-    ordered, half = np.sort(pairs), 4 * pairs.itemsize
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(np.append(starts, len(ordered)))
-    picked = np.flatnonzero(counts >= least)
-    values = ordered[starts[picked]]
-    inside = (values >> values.dtype.type(half) != end) & (values & values.dtype.type((1 << half) - 1) != end)
-    picked, values = picked[inside], values[inside]
-    return values[np.lexsort((values, -counts[picked]))][:most]
-
-
-def _slot(pairs: np.ndarray, bits: int) -> np.ndarray:
-    kind, size = pairs.dtype.type, 8 * pairs.itemsize
-    return (pairs * kind(0x9E3779B97F4A7C15 >> 64 - size | 1)) >> kind(size - bits)
-
-
-def compress(symbols: np.ndarray, terminals: int, rounds: int = 4, per_round: int = 2048, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: the rules (n x 2) and the remaining symbols.
-
-    Each round names up to ``per_round`` pairs, the most frequent first;
-    where chosen pairs overlap, the one further left is replaced.  Pairs
-    with the end symbol ``terminals - 1`` are never named.  Rounds stop when
-    no pair occurs ``least`` times."""
-    end = terminals - 1
-    # A pair is one number of two halves; half words hold all symbols but those of very large vocabularies.
-    symbol, kind = (np.uint16, np.uint32) if terminals + rounds * per_round < 1 << 16 else (np.uint32, np.uint64)
-    seq, rules, half = symbols.astype(symbol), [], kind(8 * np.dtype(symbol).itemsize)
-    for _ in range(rounds):
-        if len(seq) < 2:
+def _apart(hits: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places ``hits``, in order, are replaced: no two neighbours,
+    and of two neighbours the pair with the lower rank."""
+    near = np.diff(hits) == 1
+    # Neighbours of one rank are a run of one symbol: every other pair of it.
+    joins = np.concatenate(([False], near & (rank[1:] == rank[:-1])))
+    start = np.flatnonzero(~joins)
+    odd = (np.arange(len(hits)) - np.repeat(start, np.diff(np.append(start, len(hits))))) % 2 == 1
+    left = np.flatnonzero(~odd)
+    chosen = np.zeros(len(hits), bool)
+    for turn in range(6):
+        if not len(left):
+            break
+        near = np.diff(hits[left]) == 1
+        before, after = np.concatenate(([False], near)), np.append(near, False)
+        r = rank[left]
+        if turn < 5:
+            lower = r[1:] < r[:-1]
+            win = ~(before & np.concatenate(([False], ~lower))) & ~(after & np.append(lower, False))
+        else:  # what long chains leave: every other place
+            start = np.flatnonzero(~before)
+            win = (np.arange(len(left)) - np.repeat(start, np.diff(np.append(start, len(left))))) % 2 == 0
+        chosen[left[win]] = True
+        gone = win.copy()
+        gone[1:] |= win[:-1] & near
+        gone[:-1] |= win[1:] & near
+        left = left[~gone]
+    return chosen
+
+
+def _sorted_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the order of the keys, which like the values are below 2^32: one sort of both as one number."""
+    both = np.sort((keys.astype(np.uint64) << np.uint64(32)) | values.astype(np.uint64))
+    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _frequent(left: np.ndarray, right: np.ndarray, at: np.ndarray, end: int, base: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs at the places ``at`` that may occur ``least`` times, in order, and their places.
+
+    Pairs are first counted by a hash, which leaves nearly all rare ones out."""
+    a, b = left[at], right[at]
+    slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(max(11, 31 - len(at).bit_length()))
+    often = (np.bincount(slot)[slot] >= least) & (a != end) & (b != end) if len(at) else np.zeros(0, bool)
+    at, a, b = at[often], a[often], b[often]
+    if base <= 1 << 16:
+        return _sorted_by((a << np.uint32(16)) | b, at)
+    pairs = (a.astype(np.uint64) << np.uint64(32)) | b
+    order = np.argsort(pairs)
+    return pairs[order], at[order]
+
+
+def compress(symbols: np.ndarray, terminals: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Re-Pair: the rules (n x 2) and the remaining symbols.
+
+    Each round names all pairs that it can replace ``least`` times; where they
+    overlap, the more frequent one is replaced.  Later rounds look only at
+    pairs with a symbol of the round before, since no others have become more
+    frequent, so their cost grows with what was replaced.  Rounds end when no
+    pair is left to name.  Pairs with the end symbol ``terminals - 1`` never are."""
+    end, seq, rules, base = terminals - 1, symbols.astype(np.uint32), [], terminals
+    at = np.arange(len(seq) - 1)
+    while len(seq) > 1:
+        left, right = seq[:-1], seq[1:]
+        pairs, at = _frequent(left, right, at, end, base, least)
+        starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, int)
+        counts = np.diff(np.append(starts, len(pairs)))
+        many = np.flatnonzero(counts >= least)
+        if not len(many):
             break
-        pairs = (seq[:-1].astype(kind) << half) | seq[1:]
-        top = _frequent(pairs, per_round, least, end)
-        if not len(top):
+        many = many[np.lexsort((pairs[starts[many]], -counts[many]))]
+        size = counts[many]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        hits, of = _sorted_by(at[np.repeat(starts[many], size) + inside], np.repeat(np.arange(len(many)), size))
+        chosen = _apart(hits, of)
+        used = np.bincount(of[chosen], minlength=len(many)) >= least
+        if not used.any():
             break
-        # A table of slots finds the rule of each pair; of pairs that share a slot, the more frequent has it.
-        bits = 16
-        slots = _slot(top, bits)
-        _, first = np.unique(slots, return_index=True)
-        top = top[np.sort(first)]
-        table = np.full(1 << bits, len(top), np.int32)
-        table[_slot(top, bits)] = np.arange(len(top))
-        known = np.append(top, ~kind(0))
-        rule = table[_slot(pairs, bits)]
-        hits = np.flatnonzero(known[rule] == pairs)
-        # In a run of overlapping hits, every other one is replaced.
-        fresh = np.concatenate(([True], np.diff(hits) != 1))
-        run = np.flatnonzero(fresh)
-        place = np.arange(len(hits)) - np.repeat(run, np.diff(np.append(run, len(hits))))
-        hits = hits[place % 2 == 0]
-        base = terminals + sum(map(len, rules))
-        seq[hits] = base + rule[hits]
+        chosen &= used[of]
+        number = np.cumsum(used) - 1
+        first = at[starts[many[used]]]
+        rules.append(np.stack([left[first], right[first]], axis=1))
+        hits = hits[chosen]
+        seq[hits] = (base + number[of[chosen]]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([top >> half, top & ~(~kind(0) << half)], axis=1).astype(np.uint32))
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq.astype(np.uint32)
+        base += int(used.sum())
+        # The new symbols' places, and the pairs that they are the right or left half of.
+        new = hits - np.arange(len(hits))
+        at = np.stack([new - 1, new], axis=1).ravel()
+        at = at[np.append(at[1:] != at[:-1], True) & (at >= 0) & (at < len(seq) - 1)]
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
 
 def pack(doc_ids: list[int | None], ids: list[bytes], vocabulary: int, **limits) -> bytes:
     """One block of whole documents; ``ids`` are without the end id."""
-    terminals = vocabulary + 1
-    end = np.array([terminals - 1], "<u4").tobytes()
+    end = np.array([vocabulary], "<u4").tobytes()
     symbols = np.frombuffer(end.join([*ids, b""]), "<u4")
-    rules, seq = compress(symbols, terminals, **limits)
+    alphabet = np.flatnonzero(np.bincount(symbols, minlength=vocabulary + 1))
+    own = np.zeros(vocabulary + 1, np.uint32)
+    own[alphabet] = np.arange(len(alphabet))
+    terminals = len(alphabet)
+    rules, seq = compress(own[symbols], terminals, **limits)
     lengths = _lengths(rules, terminals)
     ends = np.flatnonzero(seq == terminals - 1) + 1
     small = terminals + len(rules) <= 1 << 16
     return b"".join([
         HEAD.pack(MAGIC, len(doc_ids), len(rules), len(seq), terminals, len(symbols)),
+        alphabet.astype("<u4").tobytes(),
         rules.astype("<u4").tobytes(),
         lengths[terminals:].astype("<u4").tobytes(),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
@@ -121,30 +161,41 @@ def pack(doc_ids: list[int | None], ids: list[bytes], vocabulary: int, **limits)
     ])
 
 
+def _stretches(rules: np.ndarray, terminals: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rules that only name symbols before the stretch, one after another."""
+    at = 0
+    while at < len(rules):
+        later = np.flatnonzero((rules[at:] >= terminals + at).any(axis=1))
+        stop = at + max(1, int(later[0]) if len(later) else len(rules) - at)
+        yield at, stop
+        at = stop
+
+
 def _lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """Ids that each symbol expands to; a rule only names symbols before it."""
     lengths = np.ones(terminals + len(rules), np.int64)
-    at = 0
-    while at < len(rules):  # rules of one round name only earlier rounds' symbols: whole stretches at once
-        later = np.flatnonzero((rules[at:] >= terminals + at).any(axis=1))
-        stop = at + (int(later[0]) if len(later) else len(rules) - at)
-        stop = max(stop, at + 1)
+    for at, stop in _stretches(rules, terminals):
         lengths[terminals + at : terminals + stop] = lengths[rules[at:stop, 0]] + lengths[rules[at:stop, 1]]
-        at = stop
     return lengths
 
 
+def _places(symbols: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the expansions of ``symbols`` stand, one after another, in the flat list of all expansions."""
+    n = lengths[symbols]
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - starts[symbols], n)
+
+
 @dataclass
 class Block:
     """A block that was read; see the format above."""
 
     doc_ids: list[int | None]
+    alphabet: np.ndarray
     rules: np.ndarray
     lengths: np.ndarray
     offsets: np.ndarray
     symbols: np.ndarray
-    terminals: int
-    end_id: int
 
     @classmethod
     def read(cls, data: bytes, end_id: int) -> "Block":
@@ -159,60 +210,51 @@ class Block:
             at += out.nbytes
             return out
 
+        alphabet = take("<u4", terminals).copy()
+        alphabet[-1:] = end_id
         rules = take("<u4", 2 * n_rules).reshape(-1, 2)
         lengths = np.concatenate([np.ones(terminals, np.int64), take("<u4", n_rules).astype(np.int64)])
         ids, nulls = take("<i8", docs), take("u1", docs)
         offsets = take("<u4", docs + 1)
         symbols = take("<u2" if terminals + n_rules <= 1 << 16 else "<u4", n_symbols)
-        return cls([None if n else int(x) for x, n in zip(ids, nulls)], rules, lengths, offsets, symbols, terminals, end_id)
-
-    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
-        """The expansions of all symbols, end to end, and where each starts."""
-        starts = np.concatenate(([0], np.cumsum(self.lengths)))
-        flat = np.zeros(int(starts[-1]), np.uint32)
-        flat[: self.terminals] = np.arange(self.terminals)
-        flat[self.terminals - 1] = self.end_id
-        for k, (left, right) in enumerate(self.rules.tolist()):
-            at = starts[self.terminals + k]
-            middle = at + self.lengths[left]
-            flat[at:middle] = flat[starts[left] : starts[left] + self.lengths[left]]
-            flat[middle : middle + self.lengths[right]] = flat[starts[right] : starts[right] + self.lengths[right]]
-        return flat, starts
+        return cls([None if n else int(x) for x, n in zip(ids, nulls)], alphabet, rules, lengths, offsets, symbols)
 
     def expand(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the first id of each document (and the end)."""
-        flat, starts = self._flat()
-        lengths = self.lengths[self.symbols]
-        ends = np.cumsum(lengths)
-        index = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths - starts[self.symbols], lengths)
-        bounds = np.concatenate(([0], ends))[self.offsets]
-        return flat[index], bounds
+        terminals = len(self.alphabet)
+        starts = np.concatenate(([0], np.cumsum(self.lengths)))
+        flat = np.zeros(int(starts[-1]), np.uint32)  # the expansions of all symbols, end to end
+        flat[:terminals] = self.alphabet
+        for at, stop in _stretches(self.rules, terminals):
+            flat[starts[terminals + at] : starts[terminals + stop]] = flat[_places(self.rules[at:stop].ravel(), self.lengths, starts)]
+        bounds = np.concatenate(([0], np.cumsum(self.lengths[self.symbols])))[self.offsets]
+        return flat[_places(self.symbols, self.lengths, starts)], bounds
 
     def document(self, k: int) -> list[int]:
         """The ids of document ``k``, its end id included, without expanding others."""
-        out, stack = [], self.symbols[self.offsets[k] : self.offsets[k + 1]].tolist()[::-1]
+        terminals, out, stack = len(self.alphabet), [], self.symbols[self.offsets[k] : self.offsets[k + 1]].tolist()[::-1]
         while stack:
             x = stack.pop()
-            if x < self.terminals:
-                out.append(self.end_id if x == self.terminals - 1 else x)
+            if x < terminals:
+                out.append(int(self.alphabet[x]))
             else:
-                left, right = self.rules[x - self.terminals].tolist()
+                left, right = self.rules[x - terminals].tolist()
                 stack += (right, left)
         return out
 
     def token(self, k: int, i: int) -> int:
         """Id ``i`` of document ``k``: skip by expansion lengths, then descend one rule at a time."""
-        symbols = self.symbols[self.offsets[k] : self.offsets[k + 1]]
+        terminals, symbols = len(self.alphabet), self.symbols[self.offsets[k] : self.offsets[k + 1]]
         ends = np.cumsum(self.lengths[symbols])
         if not 0 <= i < (int(ends[-1]) if len(ends) else 0):
             raise IndexError(i)
         at = int(np.searchsorted(ends, i, side="right"))
         x, i = int(symbols[at]), i - (int(ends[at - 1]) if at else 0)
-        while x >= self.terminals:
-            left, right = self.rules[x - self.terminals].tolist()
+        while x >= terminals:
+            left, right = self.rules[x - terminals].tolist()
             n = int(self.lengths[left])
             x, i = (left, i) if i < n else (right, i - n)
-        return self.end_id if x == self.terminals - 1 else x
+        return int(self.alphabet[x])
 
 
 # Fixed values of byte-level vocabularies: the character that each byte is written as, and the pattern of matches.
@@ -226,19 +268,22 @@ PLAIN = re.compile(rf"[\x00-\x7f{_LETTER}]*").fullmatch
 BORDER = "\uffff"
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str):
+def _encoder(path: str) -> tuple[PieceEncoder, int]:
     """A worker process keeps its encoder, and the pieces it knows, from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import CharDelimiterSplit
 
     tokenizer, merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = merger.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
     merger.pre_tokenizer = CharDelimiterSplit(BORDER)  # for matches whose bytes are written as characters already
+    merger.encode_special_tokens = True  # pieces with the string of an added token never get there
     size = tokenizer.get_vocab_size(with_added_tokens=True)
-    # Byte-level tokens are written one character for each byte.
-    widths = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)])
+    added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
+    # Whole texts go through the library at once where an added token could reach across a blank.
+    whole = any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values())
+    special = re.compile("|".join(map(re.escape, added.values())) or r"(?!)").search
+    # Byte-level tokens are written one character for each byte; added tokens as they are.
+    widths = np.array([len(added[i].encode()) if i in added else len(tokenizer.id_to_token(i) or "") for i in range(size)])
 
     def ids_of(encoding, lengths: list[int]) -> list[bytes]:
         """The ids of pieces of ``lengths`` bytes: borders of pieces are borders of tokens, found by counting bytes."""
@@ -253,7 +298,7 @@ def _encoder(path: str):
             return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         words, plain, rest = [], [], []
         for t in texts:
-            (words if t.isascii() and t[1:].isalpha() else plain if PLAIN(t) else rest).append(t)
+            (words if t.isascii() and t[1:].isalpha() else plain if PLAIN(t) and not special(t) else rest).append(t)
         out: dict[str, bytes] = {}
         if words:
             text = "".join(words).replace(" ", BORDER + BYTES[32])[1:]
@@ -267,10 +312,44 @@ def _encoder(path: str):
             out.update(zip(rest, ids_of(tokenizer.encode_batch_fast(["".join(rest)], add_special_tokens=False)[0], [len(c) for c in coded])))
         return [out[t] for t in texts]
 
+    if whole:
+        class Whole:
+            def encode_all(self, texts):
+                return (array("I", tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts)
+
+        return Whole(), size
     return PieceEncoder(many, limit=600_000), size
 
 
-WRITTEN = "part int, block int, before long, n_ids long, n_docs int, content binary"
+WRITTEN = "part int, block int, before long, n_ids long, n_docs int, first_id long, last_id long, content binary"
+
+
+def _shards(docs: DataFrame, n: int) -> tuple[Column, int]:
+    """The shard of each row of ``docs`` (id, place), in ascending order of both, and the number of shards.
+
+    Bounds are quantiles of the ids; an id that is several quantiles, and rows
+    without an id, have as many shards as their share, by ``place`` (0 to 1)."""
+    probes = [k / n for k in range(1, n)] or [0.5]
+    rows, ids, found = docs.select(F.count(F.lit(1)), F.count("id"), F.percentile_approx("id", probes, 10_000)).first()
+    found = found or []
+    bounds = sorted(set(found))
+    nulls = max(1, -(-n * (rows - ids) // rows)) if rows > ids else 0
+    inside = lambda k: F.least(F.floor(F.col("place") * k), F.lit(k - 1)).cast("int")
+    at, before = nulls, []
+    heavy = {}
+    for b in bounds:
+        before.append(at)  # rows between the bound before and this one
+        at += 1
+        if found.count(b) > 1:
+            heavy[b] = (at, found.count(b))
+            at += found.count(b)
+    before.append(at)
+    shard = F.lit(nulls)
+    if bounds:
+        shard = F.element_at(F.array(*map(F.lit, before)), F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))) + 1)
+        for b, (first, k) in heavy.items():
+            shard = F.when(F.col("id") == b, inside(k) + first).otherwise(shard)
+    return F.when(F.col("id").isNull(), inside(nulls) if nulls else F.lit(0)).otherwise(shard).cast("int"), at + 1
 
 
 def write_shards(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1_000_000, **limits) -> None:
@@ -281,25 +360,31 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
     leaves only the blocks of tasks that succeeded.  A block closes once it
     holds ``block_ids`` ids, so memory is bounded by that and one document.
     Null and empty texts have the end id only; null ids come first; rows of
-    the same id stand together; an empty table writes no blocks."""
+    the same id stand together, in the order of a hash of their text, so
+    reruns agree; an empty table writes no blocks."""
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = partitions(spark)
-    # Range bounds from the ids alone: the texts are read and dealt once.
-    bounds = sorted(set(docs.select(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []))
-    shard = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))), F.lit(0)) if bounds else F.lit(0)
-    dealt = docs.repartitionById(len(bounds) + 1, shard.cast("int")).sortWithinPartitions("id")
+    text = F.coalesce(column(text_col), F.lit(""))
+    docs = df.select(column(id_col).cast("long").alias("id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
+    docs = docs.withColumn("place", F.col("hash").cast("double") / F.lit(2.0**64) + F.lit(0.5))
+    # Bounds from the ids alone: the texts are read and dealt once.
+    shard, n = _shards(df.select(column(id_col).cast("long").alias("id")), partitions(spark))
+    dealt = docs.repartitionById(n, shard).sortWithinPartitions("id", "hash", "text").select("id", "text")
+    key = ("encoder", tokenizer)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, vocabulary = _encoder(tokenizer)
+        encoder, vocabulary = kept(key, lambda: _encoder(tokenizer))
         part, block, before, held, ids, count = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal block, before, held, ids, count
             content = pack(held, ids, vocabulary, **limits)
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([before]), "n_ids": pa.array([count]), "n_docs": pa.array([len(held)], pa.int32()), "content": pa.array([content], pa.binary())})
+            known = [x for x in held if x is not None]
+            ends = (known[0], known[-1]) if known else (None, None)
+            columns = ([part], [block], [before], [count], [len(held)], [ends[0]], [ends[1]], [content])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in WRITTEN.split(", ")])
             block, before, held, ids, count = block + 1, before + count, [], [], 0
             return out
 
@@ -313,7 +398,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
         if held:
             yield close()
 
-    dealt.mapInArrow(blocks, WRITTEN).write.option("compression", "none").parquet(path)
+    in_arrow(dealt, blocks, WRITTEN, key).write.option("compression", "none").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, end_id: int) -> DataFrame:
@@ -336,7 +421,19 @@ def read_shards(spark: SparkSession, path: str, end_id: int) -> DataFrame:
                 crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.doc_ids, pa.int64()), "start": pa.array(bounds[:-1] + before + offsets[part]), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return written.select("part", "before", "content").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(written.select("part", "before", "content"), documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_document(spark: SparkSession, path: str, doc_id: int, end_id: int) -> list[list[int]]:
+    """The ids (end id included) of each document with this id, in written
+    order; only blocks whose range of ids holds it are read, and only its own
+    symbols are expanded."""
+    found = spark.read.schema(WRITTEN).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    out = []
+    for row in found.orderBy("part", "block").select("content").toLocalIterator():  # blocks of one id, one at a time
+        block = Block.read(bytes(row["content"]), end_id)
+        out += [block.document(k) for k, x in enumerate(block.doc_ids) if x == doc_id]
+    return out
 
 
 def encode_to_shards(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, **options) -> DataFrame:
