@@ -12,15 +12,14 @@ latest when the longest possible token has passed: bounded lookahead.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from lattica.llm.common import column, in_arrow, kept
 from lattica.llm.pieces import Memory, PieceEncoder
 
 
@@ -282,12 +281,6 @@ class Codec:
         yield decoder.close()
 
 
-@functools.lru_cache(maxsize=1)
-def _codec(ranks: str, pattern: str, memory: float) -> Codec:
-    """A worker process keeps its codec, and so the states it has built, from task to task."""
-    return Codec(load_ranks(ranks), pattern, memory)
-
-
 def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memory: float = 1.0) -> DataFrame:
     """Encode every whole text and decode its ids: doc_id, n_tokens,
     ids_sha256 (ids as little-endian unsigned 32-bit integers) and
@@ -296,10 +289,12 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
     Null texts count as empty, which have no ids.  Rows that repeat give
     rows that repeat; ids may be null; an empty table gives no rows.  No
     shuffle: memory is bounded by the codec's tables, which ``memory`` scales
-    and which a worker process keeps from task to task, and one batch."""
+    and which a worker process keeps, with the states it has built, from task
+    to task until another operator's task starts there, and one batch."""
+    key = ("codec", ranks, pattern, memory)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks, pattern, memory)
+        codec = kept(key, lambda: Codec(load_ranks(ranks), pattern, memory))
         for batch in batches:
             counts, hashed, decoded = [], [], []
             for ids in codec.pieces.encode_all(t.as_py() for t in batch.column(1)):
@@ -311,4 +306,4 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
                 decoded.append(digest.hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashed, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", key)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SPACES, binary_list, sample_rows
+from lattica.llm.common import SPACES, binary_list, column, in_arrow, sample_rows
 
 SYMBOLS = b"#*$%&|<>"
 _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
@@ -161,8 +161,8 @@ def label_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words in content lines.  Null and empty texts have no words and fail the
     base rules; repeated rows repeat; null ids pass through; an empty table
     gives no rows.  No shuffle of texts; memory is bounded by a batch."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = sample_rows(docs.where("text is not null").withColumn("__all", F.lit(0)), "doc_id", "__all", sample).select("text").collect()
+    docs = df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    chosen = sample_rows(docs.where("text is not null").withColumn("all", F.lit(0)), "all", sample).select("text").collect()
     weights, transitions = fit(sorted(r["text"].encode() for r in chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,4 +180,4 @@ def label_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return in_arrow(docs, run, SCHEMA)

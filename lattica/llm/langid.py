@@ -5,7 +5,6 @@ follow-the-regularised-leader, with its scores calibrated by a temperature.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,12 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import held_out, learnable, sample_rows
+from lattica.llm.common import column, held_out, in_arrow, learnable, sample_rows, with_results
 
 BITS = 15
 ORDERS = (1, 2, 3)
 _MULTIPLIERS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
-_LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -52,7 +50,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The label and its probability; ``und`` and 0 for a text without a letter."""
-        if not text or not self.labels or not _LETTER.search(text):
+        if not text or not self.labels or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         index, value = self.vector(ngram_counts(text))
         p = _softmax(self.weights[:, index] @ value / self.temperature)
@@ -104,7 +102,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     Document frequencies come from all of them; weights from at most
     ``sample`` of them, spread evenly over the labels; the temperature from
     a fifth of that sample, kept out of the fit."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(learnable(F.col("id")) & F.col("text").isNotNull())
+    rows = df.select(column(id_col).alias("id"), column(text_col).alias("text"), column(label_col).cast("string").alias("label")).where(learnable(F.col("id")) & F.col("text").isNotNull())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, seen = np.zeros(1 << BITS, np.int64), 0
@@ -116,7 +114,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1)), "n": pa.array(np.append(found[at], seen))})
 
     # At most 2^BITS + 1 rows, whatever the corpus.
-    total = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    total = in_arrow(rows.select("text"), frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     found = {r["bucket"]: r["n"] for r in total}
     n_docs = found.pop(-1, 0)
     df_counts = np.zeros(1 << BITS)
@@ -125,7 +123,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 
     labelled = rows.where(F.col("label").isNotNull())
     n_labels = max(1, labelled.select("label").distinct().count())
-    chosen = sample_rows(labelled, "id", "label", max(1, sample // n_labels))
+    chosen = sample_rows(labelled, "label", max(1, sample // n_labels))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +131,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(2), "index": pa.array([m[0] for m in made], pa.binary()), "count": pa.array([m[1] for m in made], pa.binary())})
 
     # Packed, so that the sample takes a few dozen MB on the driver whatever the texts' lengths.
-    sent = chosen.select(F.col("id").cast("long").alias("id"), "text", "label").mapInArrow(vectors, "id long, label string, index binary, count binary")
+    sent = in_arrow(chosen.select(F.col("id").cast("long").alias("id"), "text", "label"), vectors, "id long, label string, index binary, count binary")
     data = sorted((r.asDict() for r in sent.collect()), key=lambda r: (r["label"], r["id"] is None, r["id"] or 0, bytes(r["index"]), bytes(r["count"])))
     labels = sorted({r["label"] for r in data})
     xs = [_vector(np.frombuffer(r["index"], "<u2").astype(np.int32), np.frombuffer(r["count"], "<u4"), idf) for r in data]
@@ -145,30 +143,18 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     return Model(labels, idf, weights, temperature(logits, np.array([ys[i] for i in apart], int)))
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``df`` with two columns, label and score, from its whole texts alone.
+def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``row`` (all columns of ``df`` as a struct), lang_pred and score, from whole texts alone.
 
     Null, empty and letterless texts are ``und`` with score 0; with nothing
-    to learn from, all texts are.  All other columns pass through, so repeated
-    rows and null ids stay as they are; columns that have these names are
-    replaced; an empty table gives no rows."""
-    from pyspark.sql import types as T
-
-    df = df.drop(*names)
-    at = df.columns.index(text_col)
+    to learn from, all texts are.  Repeated rows, null ids and columns of any
+    name stay as they are; an empty table gives no rows."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # labels x 2^15 numbers at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            made = [own.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=[*batch.schema.names, *names])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    return with_results(df, text_col, lambda texts: [shared.value.predict(t) for t in texts], "lang_pred string, score double")
 
 
 def predict_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **options) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row; see ``fit`` and ``identify``."""
     model = fit(df, id_col, text_col, label_col, **options)
-    found = identify(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = identify(df.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), model)
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")

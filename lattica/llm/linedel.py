@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join (operator 8).
 
-Lines are sequences of words.  Two lines belong together if they are equal,
-or, from ``near_words`` words on, if one word inserted, deleted or replaced
-turns one into the other.  Every line emits each variant with one word deleted
+Lines are sequences of words, known by a 64-bit hash of them.  Two lines belong
+together if they are equal, or, from ``near_words`` words on, if one word
+inserted, deleted or replaced turns one into the other.  Every line emits each variant with one word deleted
 as a hashed key; lines that replace the same word share a variant at the same
 place, and a line that another exceeds by one word is itself the other's
 variant.  Equal variants are joined, the word edit distance is verified on the
@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import binary_list, cut
-from lattica.llm.linking import components
+from lattica.llm.common import as_row, binary_list, column, cut, in_arrow
+from lattica.llm.linking import components, hot_join
 
 _SEED = 42
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Bits of the map of wanted lines that goes to all executors: 4 MB, whatever the corpus.
-_MAP_BITS = 25
+#: Bits of the map of wanted lines that goes to all executors (4 MB), and how many lines it is used for.
+_MAP_BITS, _MAP_LINES = 25, 1 << 23
 
 
 def _signed(x: int) -> int:
@@ -103,18 +103,23 @@ def line_table(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
                             out[name].append(value)
             yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.list_(pa.int64()) if n == "halves" else pa.int64()) for n, v in out.items()})
 
-    return docs.mapInArrow(run, "id long, version long, place long, line long, halves array<long>")
+    return in_arrow(docs, run, "id long, version long, place long, line long, halves array<long>")
 
 
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """line and its words (joined by blanks) for the wanted lines, each once.
 
-    A map of bits of a fixed size goes to all executors and holds back nearly
-    all other lines; the join with ``wanted`` then is exact."""
+    Up to ``_MAP_LINES`` wanted lines, a map of bits of a fixed size goes to
+    all executors and holds back nearly all others; beyond, it would be too
+    full to help and all lines are dealt.  The join with ``wanted`` is exact."""
+    mapped = wanted.limit(_MAP_LINES + 1).count() <= _MAP_LINES
     at = F.expr(f"line & {(1 << _MAP_BITS) - 1}L")
-    bits = wanted.select(at.alias("at")).distinct().groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
+    bits = wanted.select(at.alias("at")).distinct().groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect() if mapped else []
     table = np.zeros(1 << (_MAP_BITS - 6), np.int64)
-    table[[r["word"] for r in bits]] = [r["bits"] for r in bits]
+    if mapped:
+        table[[r["word"] for r in bits]] = [r["bits"] for r in bits]
+    else:
+        table[:] = -1
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +136,7 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataF
                             texts.append(joined)
             yield pa.RecordBatch.from_pydict({"line": pa.array(lines, pa.int64()), "words": pa.array(texts, pa.binary())})
 
-    found = docs.mapInArrow(run, "line long, words binary")
+    found = in_arrow(docs, run, "line long, words binary")
     return found.join(wanted, "line", "left_semi").groupBy("line").agg(F.first("words").alias("words"))
 
 
@@ -156,15 +161,12 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least_words: int) -> DataFr
             if keys:
                 yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "kind": pa.array(np.concatenate(kinds)), "line": pa.array(np.concatenate(lines))})
 
-    keys = texts.mapInArrow(emit, "key long, kind byte, line long")
-    # Replaced words: all lines of a key are partners of each other; each is linked to the smallest.
-    places = keys.where("kind = 0")
-    centres = places.groupBy("key").agg(F.min("line").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    replaced = places.join(centres, "key").where("line != b").select(F.col("line").alias("a"), "b")
-    # Inserted words: the variant of one line is another line.
-    whole = keys.where("kind = 2").select("key", F.col("line").alias("b"))
-    longer = keys.where("kind = 1").join(whole, "key").select(F.col("line").alias("a"), "b")
-    edges = replaced.union(longer).distinct()
+    keys = cut(in_arrow(texts, emit, "key long, kind byte, line long"), "variants")
+    # Kind 0: lines without the word at one place; equal variants replace the same word, and each line is linked
+    # to the smallest.  Kinds 1 and 2 share keys: a variant of a line (1) that is itself another line (2).
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("line")))
+    centres = keys.groupBy("key").agg(F.coalesce(of(2), of(0)).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1 and b is not null")
+    edges = hot_join(keys, cut(centres, "centres"), "key", "n").where("line != b").select(F.col("line").alias("a"), "b").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,39 +175,40 @@ def near_lines(docs: DataFrame, distinct: DataFrame, least_words: int) -> DataFr
 
     left = edges.join(texts.select(F.col("line").alias("a"), F.col("words").alias("wa")), "a")
     both = left.join(texts.select(F.col("line").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
-    return both.mapInArrow(verify, "a long, b long")
-
-
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, near_words: int = 10) -> DataFrame:
-    """``df`` without repeated lines, and with the columns __lines and __removed (counts).
-
-    Lines of fewer than ``least_words`` words always stay; from
-    ``near_words`` words on a line one word edit away counts as a repeat, and
-    so do lines that a chain of such edits connects.  Of each class the line
-    that comes first by (id, text hash, place) stays; null ids come last.  The
-    lines that stay are joined by line feeds as before; nothing else in the
-    text changes.  Rows that repeat an id and text count as one document and
-    are treated alike.  Null texts stay null (no lines); empty texts stay
-    empty (one line); an empty table gives no rows; other columns pass through."""
-    text = F.col(f"`{text_col}`")
-    docs = df.where(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    return in_arrow(both, verify, "a long, b long")
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, near_words: int = 5) -> DataFrame:
+    """``row`` (all columns of ``df`` as a struct, its text without repeated
+    lines), n_lines and n_removed.
+
+    Lines of fewer than ``least_words`` words (blank ones, unless set) always
+    stay; from ``near_words`` words on a line one word edit away counts as a
+    repeat, and so do lines that a chain of such edits connects.  Of each
+    class the line that comes first by (id, text hash, place) stays; null ids
+    come last.  The lines that stay are joined by line feeds as before;
+    nothing else in the text changes.  Rows that repeat an id and text count
+    as one document and are treated alike.  Null texts stay null (no lines);
+    empty texts stay empty (one line); an empty table gives no rows; other
+    columns, whatever their names, pass through."""
+    text, id_ = column(text_col), column(id_col).cast("long")
+    docs = df.where(text.isNotNull()).select(id_.alias("id"), text.alias("text"))
     lines = cut(line_table(docs, least_words, near_words), "places")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "place"))
     distinct = cut(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), first.alias("first"), F.first("halves").alias("halves")), "distinct")
-    roots = components(near_lines(docs, distinct, least_words))
+    roots = components(near_lines(docs, distinct, near_words))
     classes = distinct.select("line", "n", "first").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    repeated = classes.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("earliest")).where("n > 1").select("root", "earliest")
-    dropped = lines.select("id", "version", "place", "line").join(classes.select("line", "root").join(repeated, "root"), "line").where(~F.struct(F.col("id").isNull(), "id", "version", "place").eqNullSafe(F.col("earliest")))
-    gone = dropped.groupBy(F.col("id").alias("__id"), F.col("version").alias("__version")).agg(F.collect_set("place").alias("__gone"))
-
-    names = df.columns
-    at = names.index(text_col)
-    joined = df.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left").drop("__id", "__version")
+    repeated = classes.groupBy("root").agg(F.sum("n").alias("all"), F.min("first").alias("earliest")).where("all > 1").select("root", "earliest")
+    verdicts = cut(classes.select("line", "root", "n").join(repeated, "root").select("line", "n", "earliest"), "repeated")
+    dropped = hot_join(lines.select("id", "version", "place", "line"), verdicts, "line", "n").where(~F.struct(F.col("id").isNull(), "id", "version", "place").eqNullSafe(F.col("earliest")))
+    gone = dropped.groupBy(F.col("id").alias("gone_id"), F.col("version").alias("gone_version")).agg(F.collect_set("place").alias("gone"))
+    whole = df.select(as_row(df), id_.alias("id"), text.alias("text"))
+    joined = whole.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_version")), "left").select("row", "text", "gone")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, removed = [], [], []
-            for text, places in zip(binary_list(batch.column(at)), batch.column(len(names)).to_pylist()):
+            for text, places in zip(binary_list(batch.column(1)), batch.column(2).to_pylist()):
                 split = [] if text is None else text.split(b"\n")
                 if places:
                     out = set(places)
@@ -213,18 +216,18 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 texts.append(text)
                 totals.append(len(split))
                 removed.append(len(places or ()))
-            columns = [*batch.columns[: len(names)], pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__lines", "__removed"])
+            row = batch.column(0)
+            parts = row.flatten()
+            parts[at] = pa.array(texts, pa.binary()).cast(parts[at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(parts, fields=list(row.type)), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=["row", "n_lines", "n_removed"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*df.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
-    return joined.mapInArrow(rebuild, schema)
+    at = df.columns.index(text_col)
+    return in_arrow(joined, rebuild, T.StructType([whole.schema.fields[0], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
 
 
 def summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the text that stays; null texts: null)."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = dedup_lines(docs, **options)
-    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    found = dedup_lines(df.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), **options)
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2("row.text", 256).alias("kept_sha256"))

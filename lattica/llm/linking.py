@@ -16,19 +16,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, partitions
+from lattica.llm.common import column, cut, in_arrow, names_of, new_path, partitions, remove
 
+#: Keys with this share of all rows or more are joined by broadcast, so there are 10,000 of them at most.
+_HEAVY = 10_000
 
-def bucket_cells(rows: DataFrame, key: str, spread: str, block: int) -> DataFrame:
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with ``table``, a written table of one row for each key
+    with column ``size``, the number of rows that have it.
+
+    Heavy keys are joined by broadcast (there are ``_HEAVY`` at most), so
+    their rows stay where they are; all others are dealt by the key."""
+    total, most = table.agg(F.sum(size), F.max(size)).first()
+    least = max(1000, (total or 0) // _HEAVY + 1)
+    if (most or 0) < least:
+        return rows.join(table, key)
+    heavy = F.broadcast(table.where(F.col(size) >= least))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col(size) < least), key)
+    return rows.join(heavy, key).unionByName(rest)
+
+
+def bucket_cells(rows: DataFrame, key: str, spread: str, block: int, sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` with columns lo, hi and side: the cells that a row takes part in.
 
-    Rows alone in their bucket are left out.  A bucket of n rows has
-    ceil(n / block) blocks; row blocks follow the hash of column ``spread``."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    blocks = F.ceil(F.col("__n") / F.lit(block)).cast("int")
+    Rows alone in their bucket are left out, and so are buckets that are not
+    in ``sizes`` (key, n) where that is given.  A bucket of n rows has
+    ceil(n / block) blocks; row blocks follow the hash of column ``spread``.
+    A large bucket is never dealt to one task: see ``hot_join``."""
+    if sizes is None:
+        sizes = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_bucket")).where("n_bucket > 1"), "sizes")
+    blocks = F.ceil(F.col("n_bucket") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(F.col(spread), F.lit("block")), blocks.cast("long")).cast("int")
-    dealt = rows.join(sizes, key).withColumn("side", own).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumns({"lo": F.least("side", "__other"), "hi": F.greatest("side", "__other")}).drop("__n", "__other")
+    dealt = hot_join(rows, sizes, key, "n_bucket").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")}).drop("n_bucket", "other")
 
 
 def map_cells(cells: DataFrame, key: str, compare: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -79,7 +100,7 @@ def map_cells(cells: DataFrame, key: str, compare: Callable[[dict[str, np.ndarra
         if held is not None and held.num_rows:
             yield from done(held, True)[0]
 
-    return dealt.mapInArrow(run, schema)
+    return in_arrow(dealt, run, schema)
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -102,38 +123,69 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of each node in edges (a, b).
 
     Self links and null ends are ignored; no edges give no rows.  Each step
-    writes its edges to the shared folder, so a lost executor costs one step."""
+    writes its edges to the shared folder, so a lost executor costs one step;
+    steps that nothing reads any more are removed.  The edges of a node with
+    very many are not dealt to one task."""
+    spark, paths = edges.sparkSession, []
+
+    def step(df: DataFrame) -> DataFrame:
+        paths.append(new_path(spark, "edges"))
+        return cut(df, path=paths[-1])
+
+    def least(df: DataFrame) -> DataFrame:
+        return step(df.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+
     edges = edges.where("a is not null and b is not null and a != b")
-    stars = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    stars = step(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
+        old = len(paths)
         # Large star: every larger neighbour of a node, to the smallest of the node and its neighbours.
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = step(hot_join(both, least(both), "a", "n").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
         # Small star: every smaller neighbour, and the node itself, to the smallest of them.
-        large = cut(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = cut(down.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        lowest = least(large)
+        down = hot_join(large, lowest, "a", "n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        stars = step(down.union(lowest.select("a", F.col("m").alias("b"))).distinct())
+        for path in paths[: -1]:
+            remove(spark, path)
+        paths = paths[-1:]
         now = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def keep_rows(df: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: Rows that may be broadcast where a table was counted first: some dozen MB.
+SMALL = 300_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has at most ``SMALL`` rows."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def row_hash(df: DataFrame) -> "F.Column":
+    return F.xxhash64(*names_of(df))
+
+
+def keep_rows(df: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
     """``df`` with one row of each class, of the smallest id.
 
-    ``members`` has doc_id, version (xxhash64 of the text), root and
-    component_id of each row.  Of rows of one class that repeat its smallest
-    id, that of the lowest hash stays; classes that share an id keep a row
-    each.  Rows without an id can't stand for a class and all stay."""
-    stays = members.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("root").alias("__root")).distinct()
-    id_, names = F.col(f"`{id_col}`"), df.columns
-    named = df.where(id_.isNotNull()).withColumn("__hash", F.xxhash64(*(F.col(f"`{c}`") for c in names)))
-    kept = named.join(stays, (id_.cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__version")))
-    lowest = kept.groupBy("__root").agg(F.min("__hash").alias("__lowest"))
-    kept = kept.join(lowest.withColumnRenamed("__root", "__r"), (F.col("__root") == F.col("__r")) & (F.col("__hash") == F.col("__lowest")))
-    return kept.dropDuplicates(["__root"]).select(*(F.col(f"`{c}`") for c in names)).union(df.where(id_.isNull()))
+    ``members`` has doc_id, row (see ``row_hash``), root and component_id of
+    each row.  Of rows of one class that share its smallest id, that of the
+    lowest hash stays; equal rows are one; classes that share an id keep a row
+    each.  Rows without an id can't stand for a class and all stay.  Choices
+    are made on ids and hashes; of whole rows only those that go, or that
+    repeat, are looked up."""
+    counted = members.where("doc_id is not null").groupBy("root", "component_id", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(counted, "counted")
+    stay = counted.where("doc_id = component_id").groupBy("root").agg(F.min("row").alias("lowest"))
+    verdict = counted.join(stay, "root", "left").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("row") == F.col("lowest")))
+    away = cut(verdict.where("not stays or n > 1").select(F.col("doc_id").alias("away_id"), F.col("row").alias("away_row"), "stays"), "away")
+    rows = df.select(F.struct(*names_of(df)).alias("row"), column(id_col).cast("long").alias("row_id"), row_hash(df).alias("hash"))
+    same = (F.col("row_id") == F.col("away_id")) & (F.col("hash") == F.col("away_row"))
+    single = rows.join(sized(away), same, "left_anti").select("row.*")
+    repeated = rows.join(sized(cut(away.where("stays"), "repeated")), same, "left_semi").groupBy("row_id", "hash").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionAll(repeated)

@@ -70,7 +70,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors = cut(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.first("x").alias("x")).withColumn("dim", F.size("x")), "distinct")
 
     counts = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}  # one row per length of vector
-    chosen = sample_rows(vectors.select("node", "x", "dim"), "node", "dim", 4 * n_pivots(max(counts.values(), default=0))).collect()
+    chosen = sample_rows(vectors.select("node", "x", "dim"), "dim", 4 * n_pivots(max(counts.values(), default=0))).collect()
     sampled = {d: np.array([r["x"] for r in sorted((r for r in chosen if r["dim"] == d), key=lambda r: r["node"])][: 4 * n_pivots(counts[d])]) for d in counts}
     pivots = {d: x[spread(x, n_pivots(counts[d]), least)] for d, x in sampled.items()}
     shared = df.sparkSession.sparkContext.broadcast(pivots)  # 4,096 vectors of each length at most

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import binary_list, cut
-from lattica.llm.linking import bucket_cells, components, forest, keep_rows, map_cells
+from lattica.llm.common import binary_list, column, cut, in_arrow
+from lattica.llm.linking import bucket_cells, components, forest, keep_rows, map_cells, row_hash
 
 BITS = 64
 #: Estimated seconds for a key (dealt, sorted and read) and for a pair (compared in bulk).
@@ -43,7 +43,11 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes, as a signed integer."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -51,12 +55,13 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id, row (a hash of all columns) and fp of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([fingerprint(t, shingle) for t in binary_list(batch.column(2))], pa.int64())], names=["doc_id", "version", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([fingerprint(t, shingle) for t in binary_list(batch.column(2))], pa.int64())], names=["doc_id", "row", "fp"])
 
-    text = F.col(f"`{text_col}`")
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(run, "doc_id long, version long, fp long")
+    return in_arrow(df.select(column(id_col).cast("long").alias("doc_id"), row_hash(df).alias("row"), column(text_col).alias("text")), run, "doc_id long, row long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -70,7 +75,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
             n += len(bits)
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(-1, BITS * BITS)), "n": pa.array(np.concatenate(([n], both.ravel())).astype(np.int64))})
 
-    sums = {r["at"]: r["n"] for r in fps.select("fp").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}  # 4,097 rows
+    sums = {r["at"]: r["n"] for r in in_arrow(fps.select("fp"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}  # 4,097 rows
     return sums.get(-1, 0), np.array([sums.get(k, 0) for k in range(BITS * BITS)], float).reshape(BITS, BITS)
 
 
@@ -172,7 +177,7 @@ def links(fps: DataFrame, most: int = 4, block: int = 1024) -> DataFrame:
         away = root != np.arange(len(part))
         return pa.RecordBatch.from_pydict({"a": pa.array(c["fp"][part[away]]), "b": pa.array(c["fp"][part[root[away]]])})
 
-    keys = fps.select("fp").mapInArrow(emit, "key long, fp long")
+    keys = in_arrow(fps.select("fp"), emit, "key long, fp long")
     return map_cells(bucket_cells(cut(keys, "keys"), "key", "fp", block), "key", compare, "a long, b long")
 
 
@@ -197,4 +202,4 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with one document of each class, as ``linking.keep_rows`` picks it."""
-    return keep_rows(df, _members(df, id_col, text_col, **options), id_col, text_col)
+    return keep_rows(df, _members(df, id_col, text_col, **options), id_col)

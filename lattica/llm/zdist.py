@@ -148,8 +148,8 @@ def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rows.  The texts are not shuffled; the join for the sample carries ids."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
-    picked = sample_rows(labelled.where(learnable(F.col("doc_id"))), "doc_id", "y", 2 * sample)
-    picked = picked.where(F.col("y") == 0).union(sample_rows(picked.where(F.col("y") == 1), "doc_id", "y", sample))
+    picked = sample_rows(labelled.where(learnable(F.col("doc_id"))), "y", 2 * sample)
+    picked = picked.where(F.col("y") == 0).union(sample_rows(picked.where(F.col("y") == 1), "y", sample))
     rows = docs.join(F.broadcast(picked), "doc_id").where("text is not null").select("y", "text").collect()  # 3 x sample ids are broadcast
     texts = {y: sorted(r["text"].encode() for r in rows if r["y"] == y) for y in (0, 1)}
     shuffled = {y: [t[i] for i in np.random.default_rng(5).permutation(len(t))] for y, t in texts.items()}

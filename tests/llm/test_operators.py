@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lattica.llm import bpefst, crf, jaccard, langid, linedel, linking, mixing, pieces, pivots, queries, repair, simhash, urlbloom, zdist
+from lattica.llm import bpefst, common, crf, jaccard, langid, linedel, linking, mixing, pieces, pivots, queries, repair, simhash, urlbloom, zdist
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, __n string, rank int, line string"
 ODD_ROWS = [
@@ -58,9 +58,9 @@ def words(text):
 
 def plain_shards(data):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     start, out = 0, []
-    for doc, text in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0)):
+    hashed = lambda text: (xxhash.xxh64_intdigest((text or "").encode(), 42) + (1 << 63)) % (1 << 64)
+    for doc, text in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]))):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         out.append((doc, start, len(ids), zlib.crc32(array("I", ids).tobytes())))
         start += len(ids)
@@ -77,7 +77,7 @@ def test_shards_hold_all_ids_in_order(documents, odd):
 
 def test_shards_split_like_the_library():
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    assert list(repair._encoder(P.path("byte_bpe_50k.json"))[0].encode_all(["a <|endoftext|> b"])) == [array("I", [64, 220, 50256, 275]).tobytes()]
     r = random.Random(7)
     alphabet = [*"abest XY019  .,'!?-_&<>|\n\n\t\x0b\x00\x1c\x1f\x7f\x85éÀßñ×÷ªµɏɐı\u3000中ñ😀\uffff", "'s", "'re", "<|endoftext|>", " the", "ing"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(5000)]
@@ -88,7 +88,7 @@ def test_shards_split_like_the_library():
 def test_repair_is_lossless_and_reads_at_random():
     r = np.random.default_rng(1)
     docs = [r.integers(0, 4, n).astype("<u4") for n in (0, 1, 2, 3, 500, 3000)] + [np.zeros(999, "<u4")]
-    block = repair.Block.read(repair.pack(list(range(len(docs))), [d.tobytes() for d in docs], 4, rounds=8, least=2), 2)
+    block = repair.Block.read(repair.pack(list(range(len(docs))), [d.tobytes() for d in docs], 4, least=2), 2)
     ids, bounds = block.expand()
     for k, doc in enumerate(docs):
         want = [*doc.tolist(), 2]
@@ -98,9 +98,50 @@ def test_repair_is_lossless_and_reads_at_random():
         block.token(0, 1)
 
 
+def test_repair_stops_only_when_no_pair_is_frequent():
+    r = np.random.default_rng(2)
+    phrase = r.integers(0, 500, 300)
+    seq = np.concatenate([np.concatenate([phrase, r.integers(0, 500, 40), [500]]) for _ in range(30)]).astype(np.uint32)
+    rules, left = repair.compress(seq, 501)
+    assert repair._lengths(rules, 501).max() >= 200
+    pairs = Counter(p for p in zip(left[:-1].tolist(), left[1:].tolist()) if 500 not in p)
+    assert max(pairs.values()) < 2 * 8
+
+
+def test_documents_are_found_by_id_and_repeated_ids_are_split(spark, tmp_path):
+    data = [(None, f"none {i}") for i in range(40)] + [(7, f"seven {i}") for i in range(200)] + [(i, f"text {i}") for i in range(20, 40)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    path = f"{tmp_path}/shards"
+    got = repair.encode_to_shards(df.repartition(3), P.path("byte_bpe_50k.json"), 2, path=path, block_ids=50)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(plain_shards(data), key=repr)
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = lambda text: [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert repair.read_document(spark, path, 25, 2) == [ids("text 25")] and repair.read_document(spark, path, 8, 2) == []
+    assert sorted(repair.read_document(spark, path, 7, 2)) == sorted(ids(f"seven {i}") for i in range(200))
+    parts = {r["part"] for r in spark.read.parquet(path).where("first_id = 7 and last_id = 7").collect()}
+    assert len(parts) > 1
+
+
 # 2 ------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("key", [None, 1, 7])
+def test_samples_of_null_and_equal_ids(spark, key):
+    df = spark.range(20_000).select(F.lit(key).cast("long").alias("id"), F.concat(F.lit("t"), F.col("id")).alias("text"), (F.col("id") % 2).alias("y"))
+    got = common.sample_rows(df, "y", 300).collect()
+    assert Counter(r["y"] for r in got) == {0: 300, 1: 300}
+    assert sorted(map(tuple, common.sample_rows(df.repartition(5), "y", 300).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    same = common.sample_rows(df.select("id", F.lit("same").alias("text"), F.lit(None).cast("int").alias("y")), "y", 300)
+    assert same.count() == 300 and common.sample_rows(empty(df), "y", 5).count() == 0
+
+
+def test_models_of_null_and_equal_ids_are_not_empty(spark, documents):
+    for key in (None, 1):
+        same = documents.withColumn("doc_id", F.lit(key).cast("long"))
+        assert sum(r["n_content_lines"] for r in crf.label_documents(same).collect()) > 0
+        assert len(langid.fit(same).labels) == 4
+
+
 def plain_base(text):
     text = text or ""
     w = words(text)
@@ -152,6 +193,8 @@ def test_language(documents, odd):
     assert sum(got[d]["lang_pred"] == truth[d][0] for d in held) >= 0.95 * len(held)
     out = {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.predict_documents(odd).collect()}
     assert {(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)} <= out
+    model = langid.fit(documents)
+    assert [model.predict(t)[0] for t in ("½ ² ①", "Ⅷ", "12_3", "")] == ["und"] * 4 and model.predict("①a")[0] != "und"
     assert langid.predict_documents(empty(odd)).count() == 0
 
 
@@ -317,12 +360,28 @@ def test_components(spark):
 # 8 ------------------------------------------------------------------------------------------------
 
 
-def plain_dedup(docs, least=5, near=10):
-    lines = [((id_ is None, id_ or 0, linedel._hash(text.encode())), at, line.encode().split()) for id_, text in docs if text is not None for at, line in enumerate(text.split("\n"))]
+def plain_hash(text):
+    found = xxhash.xxh64_intdigest(text.encode(), 42)
+    return found - (1 << 64) if found >= 1 << 63 else found
+
+
+def plain_one_edit(a, b):
+    """Word edit distance by the table."""
+    above = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        above = row
+    return above[-1] <= 1
+
+
+def plain_dedup(docs, least=1, near=5):
+    lines = [((id_ is None, id_ or 0, plain_hash(text)), at, line.encode().split()) for id_, text in docs if text is not None for at, line in enumerate(text.split("\n"))]
     long = [x for x in lines if len(x[2]) >= least]
     distinct = sorted({tuple(x[2]) for x in long})
     index = {w: i for i, w in enumerate(distinct)}
-    pairs = [(i, j) for i, a in enumerate(distinct) for j in range(i) if len(a) >= near and len(distinct[j]) >= near and linedel.one_edit(list(a), list(distinct[j]))]
+    pairs = [(i, j) for i, a in enumerate(distinct) for j in range(i) if len(a) >= near and len(distinct[j]) >= near and abs(len(a) - len(distinct[j])) <= 1 and len(set(a) ^ set(distinct[j])) <= 2 and plain_one_edit(a, distinct[j])]
     roots = plain_components(len(distinct), pairs)
     earliest = {}
     for doc, at, w in long:
@@ -334,7 +393,7 @@ def plain_dedup(docs, least=5, near=10):
         if text is None:
             out.append((id_, 0, 0, None))
             continue
-        doc, split = (id_ is None, id_ or 0, linedel._hash(text.encode())), text.split("\n")
+        doc, split = (id_ is None, id_ or 0, plain_hash(text)), text.split("\n")
         kept = [x for at, x in enumerate(split) if (doc, at) not in gone]
         out.append((id_, len(split), len(split) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=repr)
@@ -357,7 +416,7 @@ def test_lines(spark, documents, odd):
         assert rows(linedel.summary(spark.createDataFrame(docs, "doc_id long, text string"))) == plain_dedup(docs)
     assert linedel.summary(empty(odd)).count() == 0
     out = linedel.dedup_lines(odd)
-    assert out.columns == [*odd.columns, "__lines", "__removed"]
+    assert out.columns == ["row", "n_lines", "n_removed"] and out.select("row.*").columns == odd.columns
 
 
 def test_half_keys_and_variants_find_every_partner():
@@ -474,7 +533,7 @@ def test_pipeline(spark, sf, odd):
     once = corpus_pipeline.line_dedup(spark, kept, sf).cache()
     assert once.columns == names
     single = corpus_pipeline.near_duplicates(spark, once, sf).cache()
-    found = simhash.classes(once).toPandas()
+    found = jaccard.classes(once).toPandas()
     assert single.columns == names and sorted(r["doc_id"] for r in single.collect()) == sorted(set(found.component_id))
     mixed = corpus_pipeline.mix(spark, single, sf)
     assert mixed.columns == names
@@ -486,6 +545,21 @@ def test_pipeline(spark, sf, odd):
         stage(spark, odd, sf).collect()
 
 
+CLASHES = ["__gone", "__id", "__version", "__lines", "__removed", "__stays", "__lang", "__certain", "a.b", "row", "node", "root", "n", "lang_pred", "score", "gone", "id"]
+
+
+def test_columns_of_any_name_pass_through(spark, sf, odd):
+    import corpus_pipeline
+
+    df = odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{k} "), F.col("doc_id")).alias(c) for k, c in enumerate(CLASHES)))
+    want = {r["doc_id"]: tuple(r)[5:] for r in df.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns
+        assert all(tuple(r)[5:] == want[r["doc_id"]] for r in out.collect())
+    assert simhash.keep_one(df).columns == df.columns
+
+
 def test_sql_agrees(spark, sf):
     import duckdb
 
@@ -555,7 +629,7 @@ def test_registered_lines_of_five_words_have_near_partners(spark, tmp_path):
         lines.append(" ".join(w))
     docs = [(i, line) for i, line in enumerate(lines)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert rows(queries.op8_line_dedup(spark, str(tmp_path))) == plain_dedup(docs, near=5) != plain_dedup(docs)
+    assert rows(queries.op8_line_dedup(spark, str(tmp_path))) == plain_dedup(docs) != plain_dedup(docs, near=10)
 
 
 def test_vectors_of_one_dense_group_are_found(spark):
