@@ -18,8 +18,9 @@ from lattica.plans.types import Query, Relation
 class Engine:
     """``tables`` answers ``get(name)`` with a Table or None and ``frame(name)`` with its rows."""
 
-    def __init__(self, spark: SparkSession, tables):
-        self.spark, self.tables = spark, tables
+    def __init__(self, spark: SparkSession, tables, small: int = recursion.SMALL):
+        """``small``: see ``recursion``; 0 makes each level of a recursion a Spark job."""
+        self.spark, self.tables, self.small = spark, tables, small
 
     def bind(self, query: dict, published: dict[str, tuple[list, DataFrame]] | None = None) -> Query:
         return bind(query, self.tables, {n: c for n, (c, _) in (published or {}).items()})
@@ -40,7 +41,7 @@ class Engine:
                 df = lowering.plain(b)
                 lowering.bindings[name] = settled(df) if uses.get(name, 0) > 1 and plan_sensitive(b) else df
             else:
-                lowering.bindings[name] = recursion.evaluate(lowering, name, *b)
+                lowering.bindings[name] = recursion.evaluate(lowering, name, *b, small=self.small)
         return lowering.root(bound.root)
 
     def execute(self, query: dict, published: dict[str, tuple[list, DataFrame]] | None = None) -> Any:

@@ -28,21 +28,23 @@ def _limit(ok: bool, what: str) -> None:
         raise EngineError(EXECUTION, "recursion_limit", what)
 
 
-def _small_rows(df: DataFrame) -> list[tuple] | None:
-    found = df.limit(SMALL + 1).collect()
-    return None if len(found) > SMALL else [tuple(r) for r in found]
+def _small_rows(df: DataFrame, small: int) -> list[tuple] | None:
+    if not small:
+        return None
+    found = df.limit(small + 1).collect()
+    return None if len(found) > small else [tuple(r) for r in found]
 
 
-def evaluate(lowering: Lowering, name: str, mode: str, anchor: Relation, step: Relation, columns: list[tuple[str, Type]], most_levels: int = MOST_LEVELS, most_rows: int = MOST_ROWS) -> DataFrame:
+def evaluate(lowering: Lowering, name: str, mode: str, anchor: Relation, step: Relation, columns: list[tuple[str, Type]], most_levels: int = MOST_LEVELS, most_rows: int = MOST_ROWS, small: int | None = None) -> DataFrame:
     """The binding's rows, columns c0, c1, ... in the anchor's order."""
-    spark = lowering.spark
+    spark, small = lowering.spark, SMALL if small is None else small
     names = [f"c{i}" for i in range(len(columns))]
     types = [t for _, t in columns]
     at = {c.name: i for i, c in enumerate(step.output)}
     places = [at[n] for n, _ in columns]  # step columns are matched by name
     start = lowering.plain(anchor)
-    rows = _small_rows(start)
-    inner = rows is not None and _interpreter(lowering, step)
+    rows = _small_rows(start, small)
+    inner = rows is not None and _interpreter(lowering, step, small)
     if not inner:
         return _on_spark(lowering, name, mode, start.select(*(F.col(c).alias(n) for c, n in zip(start.columns, names))), step, names, places, None, 0, most_levels, most_rows)
 
@@ -63,7 +65,7 @@ def evaluate(lowering: Lowering, name: str, mode: str, anchor: Relation, step: R
     level = 0
     while frontier:
         _limit(level < most_levels, f"{name}: levels")
-        if len(frontier) > SMALL or len(everything) > 5 * SMALL:
+        if len(frontier) > small or len(everything) > 5 * small:
             return _on_spark(lowering, name, mode, rows_frame(spark, names, types, frontier), step, names, places, rows_frame(spark, names, types, everything), level, most_levels, most_rows)
         inner.frontier[name] = frontier
         frontier = fresh([tuple(t[p] for p in places) for t in inner._tuples(step, {})])
@@ -73,18 +75,18 @@ def evaluate(lowering: Lowering, name: str, mode: str, anchor: Relation, step: R
     return rows_frame(spark, names, types, everything)
 
 
-def _interpreter(lowering: Lowering, step: Relation) -> Interpreter | None:
+def _interpreter(lowering: Lowering, step: Relation, small: int) -> Interpreter | None:
     """An interpreter that holds the step's leaf tables, if all are small."""
     tables: dict[str, list[tuple]] = {}
     bindings: dict[str, list[tuple]] = {}
     for leaf in leaves(step):
         if leaf.kind == "scan" and leaf.value.name not in tables:
-            found = _small_rows(lowering.tables.frame(leaf.value.name).select(*(f"`{c.name}`" for c in leaf.value.columns)))
+            found = _small_rows(lowering.tables.frame(leaf.value.name).select(*(f"`{c.name}`" for c in leaf.value.columns)), small)
             if found is None:
                 return None
             tables[leaf.value.name] = found
         elif leaf.kind == "ref" and leaf.value not in bindings:
-            found = _small_rows(lowering.bindings[leaf.value])
+            found = _small_rows(lowering.bindings[leaf.value], small)
             if found is None:
                 return None
             bindings[leaf.value] = found

@@ -54,9 +54,28 @@ class Database:
         except Exception as error:
             raise translated(error) from error
         if run.effects and not dry_run:
-            self.store.publish(before, run.changes.catalog, run.data)
+            self.store.publish(before, run.changes.catalog, run.data, run.transitions)
         return out
 
+    # -- transitions -------------------------------------------------------------------------------
+
+    def transitions(self) -> list[dict]:
+        """The record of each online change, oldest first.
+
+        A change here is one job that ends with its program, so a record says
+        ``completed``; what fails or conflicts leaves none."""
+        return list(self.store.manifest().get("transitions", []))
+
+    def transition(self, id_: int) -> dict:
+        found = [t for t in self.transitions() if t["id"] == id_]
+        if not found:
+            raise EngineError(CATALOG, "transition_not_found", str(id_))
+        return found[0]
+
+    def cancel_transition(self, id_: int) -> dict:
+        """Only a running transition can be cancelled; a completed one is an error."""
+        raise EngineError(CATALOG, "transition_not_active", f"{id_}: {self.transition(id_)['state']}")
+
     # -- migration ---------------------------------------------------------------------------------
 
     def plan(self, schema: str | dict) -> dict:
@@ -65,6 +84,7 @@ class Database:
         steps = C.difference(m["catalog"], C.parse(schema))
         snapshot = Snapshot(self.store, m["catalog"], m["data"])
         renamed = {s[2]: s[1] for s in steps if s[0] == "rename_table"}
+        columns = {(s[1], s[3]): s[2] for s in steps if s[0] == "rename_column"}
         destructive, blocking = [], []
         for s in steps:
             if s[0] in ("delete_table", "delete_column"):
@@ -74,10 +94,18 @@ class Database:
                 continue
             name = renamed.get(s[1], s[1])
             rows = snapshot.frame(name)
+            rows = rows.withColumnsRenamed({old: new for (of, new), old in columns.items() if of == s[1]})
             if s[0] == "replace_type":
-                kind = C.column(C.table(m["catalog"], name), s[2])["type"]
-                if not rows.where(F.col(s[2]).isNotNull() & converted(F.col(s[2]), kind, s[3]).isNull()).isEmpty():
+                t = C.table(m["catalog"], name)
+                old = columns.get((s[1], s[2]), s[2])
+                value = converted(F.col(f"`{s[2]}`"), C.column(t, old)["type"], s[3])
+                if not rows.where(F.col(f"`{s[2]}`").isNotNull() & value.isNull()).isEmpty():
                     blocking.append(("conversion", *s[1:]))
+                of = {c["id"]: next((new for (at, new), o in columns.items() if at == s[1] and o == c["name"]), c["name"]) for c in t["columns"]}
+                for i in t["indexes"]:
+                    names = [of[c] for c in i["columns"]]
+                    if i["unique"] and s[2] in names and not _repeated(rows.withColumn(s[2], value), names).isEmpty():
+                        blocking.append(("duplicates", s[1], names))
             elif s[0] == "set_nullable" and not s[3]:
                 if s[2] in rows.columns and not rows.where(F.col(s[2]).isNull()).isEmpty():
                     blocking.append(("nulls", *s[1:3]))
@@ -98,7 +126,7 @@ class Database:
         run = _Run(self, before, True)
         for step in plan["steps"]:
             run.change(step[0], *step[1:])
-        return self.store.publish(before, run.changes.catalog, run.data) if plan["steps"] else before
+        return self.store.publish(before, run.changes.catalog, run.data, run.transitions) if plan["steps"] else before
 
 
 def converted(value: Column, before: str, after: str) -> Column:
@@ -108,10 +136,10 @@ def converted(value: Column, before: str, after: str) -> Column:
     if after == T.TEXT:
         return value.cast("string")
     if before == T.TEXT and after == T.INT:
-        return F.when(value.rlike(r"^[+-]?[0-9]+$"), value.try_cast("bigint"))
+        return F.when(value.rlike(rf"\A(?:{C.WHOLE.pattern})\z"), value.try_cast("bigint"))
     if before == T.TEXT and after == T.FLOAT:
         number = value.try_cast("double")
-        return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+        return F.when(value.rlike(rf"\A(?:{C.DECIMAL.pattern})\z") & (F.abs(number) < float("inf")), number)
     if before == T.TEXT and after == T.BOOL:
         return F.when(value == "true", F.lit(True)).when(value == "false", F.lit(False))
     if before == T.FLOAT and after == T.INT:
@@ -123,6 +151,22 @@ def converted(value: Column, before: str, after: str) -> Column:
     return F.lit(None).cast(SPARK[after])
 
 
+def _columns(t: dict) -> list:
+    return [T.Column(c["name"], i, T.Type(c["type"], c["nullable"])) for i, c in enumerate(t["columns"])]
+
+
+def _step(kind: str, s: dict) -> tuple[str, tuple]:
+    """The catalog change that a statement asks for, and its arguments."""
+    names = {
+        "create_table": ("table",), "rename_table": ("table", "to"), "delete_table": ("table",), "create_column": ("table", "column"), "rename_column": ("table", "column", "to"),
+        "change_column_default": ("table", "column", "default"), "delete_column": ("table", "column"), "create_index": ("table", "index"), "delete_index": ("table", "index"),
+        "start_index_build": ("table", "index"), "start_column_replacement": ("table", "column", "type"), "start_constraint_validation": ("table", "column"),
+    }
+    step = {"start_index_build": "create_index", "start_column_replacement": "replace_type", "start_constraint_validation": "set_nullable"}.get(kind, kind)
+    args = tuple(s.get(n) if n == "default" else s[n] for n in names[kind])
+    return step, (*args, False) if step == "set_nullable" else args
+
+
 def _repeated(df: DataFrame, names: list[str]) -> DataFrame:
     """Key values that stand more than once; a null anywhere makes a key unlike any other."""
     whole = df
@@ -139,6 +183,8 @@ class _Run:
         self.changes, self.data = C.Changes(manifest["catalog"]), dict(manifest["data"])
         self.published: dict[str, tuple[list, DataFrame]] = {}
         self.effects = False
+        self.known = len(manifest.get("transitions", []))
+        self.transitions: list[dict] = []
 
     def tables(self) -> Snapshot:
         return Snapshot(self.store, self.changes.catalog, self.data)
@@ -155,6 +201,7 @@ class _Run:
             raise EngineError(BIND, "unknown_result", selected)
         if selected is None and names:
             raise EngineError(BIND, "result_required")
+        self._preflight(statements)
         affected, shapes = [], {}
         for s in statements:
             kind = s.get("kind")
@@ -175,6 +222,47 @@ class _Run:
         result = shaped(self.published[selected][1], shapes[selected]) if selected else None
         return {"result": result, "affected": affected}
 
+    def _preflight(self, statements: list[dict]) -> None:
+        """Binds every statement against the catalog that those before it leave, before any of them runs."""
+        changes, columns = C.Changes(self.changes.catalog), {}
+        for s in statements:
+            tables = Snapshot(self.store, changes.catalog, {})
+            kind = s.get("kind")
+            if kind == "query":
+                columns[s["name"]] = bind(s["relation"], tables, columns).root.output
+            elif kind in MUTATIONS:
+                t = C.table(changes.catalog, s["table"])
+                self._bound_input(s, t, tables, columns)
+                columns[s.get("name")] = _columns(t)
+            elif kind not in CATALOG_STATEMENTS:
+                raise EngineError(BIND, "invalid_statement", str(kind))
+            elif not self.allow_catalog:
+                raise EngineError(CATALOG, "catalog_forbidden", kind)
+            else:
+                step, args = _step(kind, s)
+                getattr(changes, step)(*args)
+
+    def _bound_input(self, s: dict, t: dict, tables: Snapshot, columns: dict[str, list]):
+        """A mutation's input, bound and checked against the table and the kind of mutation."""
+        relation = s["relation"]
+        bound = bind(relation | {"root": relation["root"] | {"cardinality": "exactly_one"}}, tables, columns)
+        known, given = {c["name"]: c for c in t["columns"]}, {c.name for c in bound.root.output}
+        for c in bound.root.output:
+            if c.name not in known:
+                raise EngineError(BIND, "unknown_column", f"{s['table']}.{c.name}")
+            if c.type.kind != known[c.name]["type"] or c.type.nullable and not known[c.name]["nullable"]:
+                raise EngineError(BIND, "type_mismatch", f"{s['table']}.{c.name}")
+        key = set(self._names(t, t["primary_key"]))
+        if s["kind"] == "create":
+            for c in t["columns"]:
+                if c["name"] not in given and c["default"] is None and not c["nullable"]:
+                    raise EngineError(BIND, "type_mismatch", f"{s['table']}.{c['name']} is required")
+        elif s["kind"] == "update" and (not key <= given or key == given):
+            raise EngineError(BIND, "update_shape", s["table"])
+        elif s["kind"] == "delete" and given != key:
+            raise EngineError(BIND, "delete_shape", s["table"])
+        return bound
+
     def _publish(self, name: str, columns: list, df: DataFrame) -> None:
         self.published[name] = (columns, df)
 
@@ -192,15 +280,8 @@ class _Run:
     def _input(self, s: dict) -> tuple[dict, list, DataFrame]:
         """The target table, the input's columns and its rows, fixed once."""
         t = C.table(self.changes.catalog, s["table"])
-        relation = s["relation"]
         engine = Engine(self.spark, self.tables())
-        bound = bind(relation | {"root": relation["root"] | {"cardinality": "exactly_one"}}, engine.tables, {n: c for n, (c, _) in self.published.items()})
-        known = {c["name"]: c for c in t["columns"]}
-        for c in bound.root.output:
-            if c.name not in known:
-                raise EngineError(BIND, "unknown_column", f"{s['table']}.{c.name}")
-            if c.type.kind != known[c.name]["type"] or c.type.nullable and not known[c.name]["nullable"]:
-                raise EngineError(BIND, "type_mismatch", f"{s['table']}.{c.name}")
+        bound = self._bound_input(s, t, engine.tables, {n: c for n, (c, _) in self.published.items()})
         return t, bound.root.output, cut(engine.lowered(bound, self.published), "input")
 
     def _names(self, t: dict, ids: list[int]) -> list[str]:
@@ -216,10 +297,8 @@ class _Run:
                 made[c["name"]] = F.col(f"`{c['name']}`")
             elif c["default"] is not None:
                 made[c["name"]] = self._default(c)
-            elif c["nullable"]:
-                made[c["name"]] = F.lit(None)
             else:
-                raise EngineError(BIND, "type_mismatch", f"{s['table']}.{c['name']} is required")
+                made[c["name"]] = F.lit(None)
         new = rows.select(*(e.cast(SPARK[c["type"]]).alias(n) for (n, e), c in zip(made.items(), t["columns"])))
         new = cut(new, "created")  # generated defaults are drawn once
         old = self.tables().frame(s["table"])
@@ -245,8 +324,6 @@ class _Run:
         t, given, rows = self._input(s)
         key = self._names(t, t["primary_key"])
         touched = [c.name for c in given if c.name not in key]
-        if not set(key) <= {c.name for c in given} or not touched:
-            raise EngineError(BIND, "update_shape", s["table"])
         old = self._targets(s, t, rows, key)
         patch = rows.select(*(F.col(f"`{k}`") for k in key), F.struct(*(F.col(f"`{c}`") for c in touched)).alias("__patch"))
         joined = old.join(patch, key, "left")
@@ -263,8 +340,6 @@ class _Run:
     def _delete(self, s: dict) -> int:
         t, given, rows = self._input(s)
         key = self._names(t, t["primary_key"])
-        if {c.name for c in given} != set(key):
-            raise EngineError(BIND, "delete_shape", s["table"])
         old = self._targets(s, t, rows, key)
         gone = cut(old.join(rows, key, "left_semi"), "deleted")
         self._store(t, old.join(rows, key, "left_anti").select(*(c["name"] for c in t["columns"])))
@@ -280,8 +355,7 @@ class _Run:
         self.effects = True
 
     def _result(self, s: dict, t: dict, df: DataFrame) -> None:
-        columns = [T.Column(c["name"], i, T.Type(c["type"], c["nullable"])) for i, c in enumerate(t["columns"])]
-        self._publish(s["name"], columns, cut(df, "result"))
+        self._publish(s["name"], _columns(t), cut(df, "result"))
 
     # -- constraints -------------------------------------------------------------------------------
 
@@ -311,22 +385,11 @@ class _Run:
     # -- catalog -----------------------------------------------------------------------------------
 
     def _catalog(self, kind: str, s: dict) -> None:
-        args = {
-            "create_table": lambda: (s["table"],),
-            "rename_table": lambda: (s["table"], s["to"]),
-            "delete_table": lambda: (s["table"],),
-            "create_column": lambda: (s["table"], s["column"]),
-            "rename_column": lambda: (s["table"], s["column"], s["to"]),
-            "change_column_default": lambda: (s["table"], s["column"], s.get("default")),
-            "delete_column": lambda: (s["table"], s["column"]),
-            "create_index": lambda: (s["table"], s["index"]),
-            "delete_index": lambda: (s["table"], s["index"]),
-            "start_index_build": lambda: (s["table"], s["index"]),
-            "start_column_replacement": lambda: (s["table"], s["column"], s["type"]),
-            "start_constraint_validation": lambda: (s["table"], s["column"], False),
-        }[kind]()
-        step = {"start_index_build": "create_index", "start_column_replacement": "replace_type", "start_constraint_validation": "set_nullable"}.get(kind, kind)
+        step, args = _step(kind, s)
         self.change(step, *args)
+        if kind.startswith("start_"):
+            of = s["index"]["columns"] if kind == "start_index_build" else [s["column"]]
+            self.transitions.append({"id": self.known + len(self.transitions) + 1, "kind": kind.removeprefix("start_"), "table": s["table"], "columns": of, "state": "completed"})
 
     def change(self, step: str, *args: Any) -> None:
         """One catalog change, with the data that it has to look at or rewrite."""
@@ -339,12 +402,27 @@ class _Run:
             if not rows.where(F.col(f"`{of}`").isNotNull() & value.isNull()).isEmpty():
                 raise EngineError(CATALOG, "conversion_failed", f"{name}.{of} to {kind}")
             self.changes.replace_type(name, of, kind)
-            self._store(C.table(self.changes.catalog, name), rows.withColumn(of, value))
+            t = C.table(self.changes.catalog, name)
+            self._store(t, rows.withColumn(of, value))
+            now = self.tables().frame(name)
+            for i in t["indexes"]:
+                names = self._names(t, i["columns"])
+                if i["unique"] and of in names and not _repeated(now, names).isEmpty():
+                    raise _violation(f"{name}: {i['name']}")
+            for f in t["foreign_keys"]:
+                if of in self._names(t, f["columns"]):
+                    parent = next(p for p in self.changes.catalog["tables"] if p["id"] == f["table"])
+                    if [c["type"] for k in parent["primary_key"] for c in parent["columns"] if c["id"] == k] != [C.column(t, c)["type"] for c in self._names(t, f["columns"])]:
+                        raise EngineError(CATALOG, "foreign_key_shape", f"{name} to {parent['name']}")
+                    self._references(t, f)
         elif step == "set_nullable":
             name, of, nullable = args
             if not nullable and not before.frame(name).where(F.col(f"`{of}`").isNull()).isEmpty():
                 raise EngineError(CATALOG, "null_values", f"{name}.{of}")
             self.changes.set_nullable(name, of, nullable)
+        elif step == "create_foreign_key":
+            made = self.changes.create_foreign_key(*args)
+            self._references(C.table(self.changes.catalog, args[0]), made)
         elif step == "create_index":
             self.changes.create_index(*args)
             if args[1].get("unique") and not _repeated(before.frame(args[0]), args[1]["columns"]).isEmpty():

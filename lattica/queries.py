@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.engine import Engine
 
 from lattica.plans.build import Rel
+from lattica.programs import PROGRAMS
 from lattica.sources.parquet import ParquetTables
 
 #: Logical primary keys of the tables; lineitem has none.
@@ -18,8 +19,8 @@ KEYS = {
 }
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(spark, ParquetTables(spark, sf_dir, KEYS))
+def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
+    return Engine(spark, ParquetTables(spark, sf_dir, KEYS), **options)
 
 
 def _queries() -> dict[str, tuple[dict, str]]:
@@ -51,8 +52,8 @@ def _queries() -> dict[str, tuple[dict, str]]:
         "SELECT event_type, epoch_us(min(ts)) // 1000 first_ts, epoch_us(max(ts)) // 1000 last_ts, count(*) n FROM events GROUP BY ALL", "a.event_type")
 
     # Predicates ------------------------------------------------------------------------------------
-    padded = lambda: b.project(b.join(b.where(orders("o"), b.lt("@o.o_orderkey", 3000)), b.where(b.scan("customer", "c"), b.gt("@c.c_acctbal", 0.0)), b.eq("@o.o_custkey", "@c.c_custkey"), "left"), scope="p", k="@o.o_orderkey", bal="@c.c_acctbal", seg="@c.c_mktsegment")
-    padded_sql = "(SELECT o_orderkey k, c_acctbal bal, c_mktsegment seg FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey WHERE o_orderkey < 3000) p"
+    padded = lambda: b.project(b.join(orders("o"), b.where(b.scan("customer", "c"), b.gt("@c.c_acctbal", 0.0)), b.eq("@o.o_custkey", "@c.c_custkey"), "left"), scope="p", k="@o.o_orderkey", bal="@c.c_acctbal", seg="@c.c_mktsegment")
+    padded_sql = "(SELECT o_orderkey k, c_acctbal bal, c_mktsegment seg FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey) p"
     add("filter_k3_not", b.project(b.where(padded(), b.not_(b.gt("@p.bal", 5000.0))), ["p"]), f"SELECT k, bal, seg FROM {padded_sql} WHERE NOT bal > 5000", "p.k")
     add("filter_is_null", b.project(b.where(padded(), b.is_null("@p.bal")), k="@p.k"), f"SELECT k FROM {padded_sql} WHERE bal IS NULL", "p.k")
     add("filter_is_not_null", b.project(b.where(padded(), b.is_not_null("@p.seg")), k="@p.k", seg="@p.seg"), f"SELECT k, seg FROM {padded_sql} WHERE seg IS NOT NULL", "p.k")
@@ -62,14 +63,14 @@ def _queries() -> dict[str, tuple[dict, str]]:
         f"SELECT k, bal > 100 AND k < 1000 a, bal > 100 OR k < 1000 o, NOT bal > 100 n FROM {padded_sql}", "p.k")
 
     # Expressions -----------------------------------------------------------------------------------
-    o = lambda: b.where(orders("o"), b.lt("@o.o_orderkey", 5000))
+    o = lambda: orders("o")
     add("expr_int_arith", b.project(o(), k="@o.o_orderkey", a=b.add("@o.o_orderkey", "@o.o_custkey"), s=b.sub("@o.o_custkey", "@o.o_orderkey"), m=b.mul("@o.o_orderkey", "@o.o_custkey"), g=b.negate("@o.o_custkey")),
-        "SELECT o_orderkey k, o_orderkey + o_custkey a, o_custkey - o_orderkey s, o_orderkey * o_custkey m, -o_custkey g FROM orders WHERE o_orderkey < 5000", "o.o_orderkey")
-    add("expr_int_div_trunc", b.project(o(), k="@o.o_orderkey", d=b.div(b.sub(100, "@o.o_orderkey"), 7)), "SELECT o_orderkey k, (100 - o_orderkey) // 7 d FROM orders WHERE o_orderkey < 5000", "o.o_orderkey")
+        "SELECT o_orderkey k, o_orderkey + o_custkey a, o_custkey - o_orderkey s, o_orderkey * o_custkey m, -o_custkey g FROM orders", "o.o_orderkey")
+    add("expr_int_div_trunc", b.project(o(), k="@o.o_orderkey", d=b.div(b.sub(100, "@o.o_orderkey"), 7)), "SELECT o_orderkey k, (100 - o_orderkey) // 7 d FROM orders", "o.o_orderkey")
     add("expr_float_arith", b.project(o(), k="@o.o_orderkey", half=b.mul("@o.o_totalprice", 0.5), more=b.add("@o.o_totalprice", 1.25), ratio=b.div("@o.o_totalprice", 4.0), neg=b.negate("@o.o_totalprice"), mixed=b.sub("@o.o_totalprice", "@o.o_custkey")),
-        "SELECT o_orderkey k, o_totalprice * 0.5::DOUBLE half, o_totalprice + 1.25::DOUBLE more, o_totalprice / 4.0::DOUBLE ratio, -o_totalprice neg, o_totalprice - o_custkey::DOUBLE mixed FROM orders WHERE o_orderkey < 5000", "o.o_orderkey")
-    add("cast_float_to_int", b.project(o(), k="@o.o_orderkey", t=b.cast(b.negate("@o.o_totalprice"), "int64")), "SELECT o_orderkey k, trunc(-o_totalprice)::BIGINT t FROM orders WHERE o_orderkey < 5000", "o.o_orderkey")
-    add("cast_int_to_float", b.project(o(), k="@o.o_orderkey", f=b.cast("@o.o_custkey", "float64")), "SELECT o_orderkey k, o_custkey::DOUBLE f FROM orders WHERE o_orderkey < 5000", "o.o_orderkey")
+        "SELECT o_orderkey k, o_totalprice * 0.5::DOUBLE half, o_totalprice + 1.25::DOUBLE more, o_totalprice / 4.0::DOUBLE ratio, -o_totalprice neg, o_totalprice - o_custkey::DOUBLE mixed FROM orders", "o.o_orderkey")
+    add("cast_float_to_int", b.project(o(), k="@o.o_orderkey", t=b.cast(b.negate("@o.o_totalprice"), "int64")), "SELECT o_orderkey k, trunc(-o_totalprice)::BIGINT t FROM orders", "o.o_orderkey")
+    add("cast_int_to_float", b.project(o(), k="@o.o_orderkey", f=b.cast("@o.o_custkey", "float64")), "SELECT o_orderkey k, o_custkey::DOUBLE f FROM orders", "o.o_orderkey")
     add("branch_classify", b.aggregate(b.project(orders("o"), scope="p", band=b.branch((b.lt("@o.o_totalprice", 1000.0), "low"), (b.lt("@o.o_totalprice", 100000.0), "mid"), otherwise="high")), {"band": "@p.band"}, scope="a", n="count"),
         "SELECT CASE WHEN o_totalprice < 1000 THEN 'low' WHEN o_totalprice < 100000 THEN 'mid' ELSE 'high' END band, count(*) n FROM orders GROUP BY 1", "a.band")
     part = lambda: b.scan("part", "p")
@@ -79,6 +80,10 @@ def _queries() -> dict[str, tuple[dict, str]]:
     add("textmatch_escapes", b.aggregate(b.where(b.scan("documents", "d"), b.match("@d.text", "*%*_*")), scope="a", n="count"), "SELECT count(*) n FROM documents WHERE text LIKE '%!%%!_%' ESCAPE '!'", cardinality="exactly_one")
     add("textmatch_fold", b.aggregate(b.where(customer("c"), b.match("@c.c_mktsegment", "bUiLd*", fold=True)), scope="a", n="count"), "SELECT count(*) n FROM customer WHERE lower(c_mktsegment) LIKE 'build%'", cardinality="exactly_one")
 
+    folded = [("ÄPFEL",), ("äpfel",), ("Äpfel",), ("apfel",), ("ΣΊΓΜΑ",), ("σίγμα",), ("ẞ",), ("ß",), ("ss",)]
+    for name, pattern, found in (("latin", "äPf*", "('ÄPFEL'), ('äpfel'), ('Äpfel')"), ("greek", "σΊγ*Α", "('ΣΊΓΜΑ'), ('σίγμα')"), ("sharp", "ß", "('ẞ'), ('ß')")):
+        add(f"textmatch_fold_{name}", b.project(b.where(b.rows("r", {"k": "text"}, folded), b.match("@r.k", pattern, fold=True)), ["r"]), f"SELECT * FROM (VALUES {found}) t(k)", "r.k")
+
     # Joins -----------------------------------------------------------------------------------------
     add("join_inner", b.project(b.join(nation("n"), region("r"), b.eq("@n.n_regionkey", "@r.r_regionkey")), n_name="@n.n_name", r_name="@r.r_name"),
         "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "n.n_name")
@@ -109,6 +114,8 @@ def _queries() -> dict[str, tuple[dict, str]]:
     add("agg_min_max_text", b.aggregate(b.project(part(), ["p"], scope="w", big=b.gt("@p.p_size", 25)), {"p_brand": "@w.p_brand"}, scope="a", lo=("min", "@w.p_name"), hi=("max", "@w.p_name"), any_big=("max", "@w.big")),
         "SELECT p_brand, min(p_name) lo, max(p_name) hi, max(p_size > 25) any_big FROM part GROUP BY 1", "a.p_brand")
     add("agg_sum_exact", b.aggregate(b.rows("r", {"v": "int64"}, [(9223372036854775807,), (1,), (-1,)]), scope="a", s=("sum", "@r.v")), "SELECT 9223372036854775807::BIGINT s", cardinality="exactly_one")
+    add("agg_sum_float", b.aggregate(lineitem("l"), {"l_returnflag": "@l.l_returnflag"}, scope="a", q=("sum", "@l.l_quantity"), mean=("avg", "@l.l_quantity")),
+        "SELECT l_returnflag, sum(l_quantity) q, avg(l_quantity) mean FROM lineitem GROUP BY 1", "a.l_returnflag")
     add("agg_keys_only", b.aggregate(orders("o"), {"o_orderpriority": "@o.o_orderpriority"}, scope="a"), "SELECT DISTINCT o_orderpriority FROM orders", "a.o_orderpriority")
     add("distinct_rows", b.distinct(b.project(orders("o"), scope="d", o_orderstatus="@o.o_orderstatus", o_orderpriority="@o.o_orderpriority")), "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "d.o_orderstatus", "d.o_orderpriority")
 
@@ -129,13 +136,16 @@ def _queries() -> dict[str, tuple[dict, str]]:
     add("order_slice_offset", b.project(b.slice_(priced(), 10, 40), k="@o.o_orderkey", v="@o.o_totalprice"), "SELECT o_orderkey k, o_totalprice v FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 40")
     add("order_nulls_first", b.slice_(Rel(kind="order", input=padded(), terms=[{"expr": c("p.bal")}, {"expr": c("p.k")}]), 30), f"SELECT k, bal, seg FROM {padded_sql} ORDER BY bal ASC NULLS FIRST, k LIMIT 30")
     add("slice_limit_zero", b.project(b.slice_(priced(), 0), k="@o.o_orderkey"), "SELECT o_orderkey k FROM orders WHERE false")
-    add("root_first", b.project(priced(), k="@o.o_orderkey"), "SELECT o_orderkey k FROM orders ORDER BY o_totalprice DESC, o_orderkey")
+    add("root_first", b.project(priced(), k="@o.o_orderkey"), "SELECT o_orderkey k FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1", cardinality="first")
     add("root_scalar", b.aggregate(orders("o"), scope="a", n="count"), "SELECT count(*) n FROM orders", cardinality="scalar")
 
     # Bindings and crossings ------------------------------------------------------------------------
     spend = b.aggregate(orders("o"), {"o_custkey": "@o.o_custkey"}, n="count", top=("max", "@o.o_totalprice"))
     add("binding_shared", b.project(b.where(b.join(b.ref("spend", "a"), b.ref("spend", "z"), b.and_(b.eq("@a.n", "@z.n"), b.lt("@a.o_custkey", "@z.o_custkey"))), b.gt("@a.n", 17)), a="@a.o_custkey", z="@z.o_custkey", n="@a.n"),
         "WITH s AS (SELECT o_custkey, count(*) n FROM orders GROUP BY 1) SELECT a.o_custkey a, z.o_custkey z, a.n FROM s a JOIN s z ON a.n = z.n AND a.o_custkey < z.o_custkey WHERE a.n > 17", "a.o_custkey", "z.o_custkey", spend=spend)
+    dearest = b.slice_(Rel(kind="order", input=orders("o"), terms=[{"expr": c("o.o_totalprice"), "desc": True}]), 50)
+    add("binding_plan_sensitive", b.aggregate(b.join(b.ref("dearest", "a"), b.ref("dearest", "z"), b.eq("@a.o_orderkey", "@z.o_orderkey")), scope="t", n="count", lo=("min", "@a.o_orderkey"), hi=("max", "@z.o_orderkey")),
+        "WITH d AS (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) SELECT count(*) n, min(o_orderkey) lo, max(o_orderkey) hi FROM d", dearest=dearest)
     mine = lambda s="o": b.where(b.scan("orders", s), b.eq(f"@{s}.o_custkey", "@c.c_custkey"))
     count = lambda of, s: b.scalar(b.aggregate(of, scope=s, n="count"))
     add("cross_scalar_count", b.project(customer("c"), k="@c.c_custkey", n=count(mine(), "m")), "SELECT c_custkey k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) n FROM customer", "c.c_custkey")
@@ -144,6 +154,8 @@ def _queries() -> dict[str, tuple[dict, str]]:
     best = lambda: b.project(Rel(kind="order", input=mine(), terms=[{"expr": c("o.o_totalprice"), "desc": True}]), k="@o.o_orderkey", v="@o.o_totalprice")
     add("cross_first", b.project(b.project(customer("c"), scope="p", k="@c.c_custkey", best=b.first(best())), k="@p.k", none=b.is_null("@p.best")),
         "SELECT c_custkey k, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) none FROM customer", "p.k")
+    add("cross_first_row", b.project(customer("c"), k="@c.c_custkey", best=b.first(best())),
+        "SELECT c_custkey k, (SELECT {'k': o_orderkey, 'v': o_totalprice} FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) best FROM customer", "c.c_custkey")
     add("cross_first_value", b.project(customer("c"), k="@c.c_custkey", v=b.scalar(b.project(b.slice_(b.project(Rel(kind="order", input=mine(), terms=[{"expr": c("o.o_totalprice"), "desc": True}]), scope="w", v="@o.o_totalprice"), 1), v="@w.v"))),
         "SELECT c_custkey k, (SELECT o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) v FROM customer", "c.c_custkey")
     add("cross_in_filter", b.project(b.where(customer("c"), b.gt(count(mine(), "m"), 12)), k="@c.c_custkey"), "SELECT c_custkey k FROM customer WHERE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 12", "c.c_custkey")
@@ -195,14 +207,31 @@ def _queries() -> dict[str, tuple[dict, str]]:
     return q
 
 
+#: Recursions that are also registered with all their levels as Spark jobs.
+ON_SPARK = ("recursive_depth", "recursive_reach", "recursive_diamond", "threads_depth")
+
+
+def _run(spark: SparkSession, sf_dir: str, wire: dict, **options) -> DataFrame:
+    """The query's rows; where its root asks for one, what ``execute`` shapes as one row."""
+    found = engine(spark, sf_dir, **options)
+    df = found.dataframe(wire)
+    kind = wire["root"]["cardinality"]
+    if kind == "many":
+        return df
+    value = found.execute(wire)
+    return spark.createDataFrame([(value,)] if kind == "scalar" else [] if value is None else [tuple(value.values())], df.schema)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = _queries()
-    out = {name: (lambda spark, sf_dir, wire=wire: engine(spark, sf_dir).dataframe(wire)) for name, (wire, _) in made.items()}
-    return out
+    out = {name: (lambda spark, sf_dir, wire=wire: _run(spark, sf_dir, wire)) for name, (wire, _) in made.items()}
+    out |= {f"{name}_on_spark": (lambda spark, sf_dir, wire=made[name][0]: _run(spark, sf_dir, wire, small=0)) for name in ON_SPARK}
+    return out | {name: run for name, (run, _) in PROGRAMS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _queries().items()}
+    made = {name: sql for name, (_, sql) in _queries().items()}
+    return made | {f"{name}_on_spark": made[name] for name in ON_SPARK} | {name: sql for name, (_, sql) in PROGRAMS.items()}
 
 
 FLAGSHIP = "category_revenue"

@@ -39,12 +39,12 @@ class Store:
         lines = self.spark.read.option("wholetext", True).text(f"{self.folder}/manifests/{version}.json").first()
         return json.loads(lines[0])
 
-    def publish(self, before: dict, catalog: dict, data: dict[str, str]) -> dict:
-        """The next manifest, if no other has taken its place."""
+    def publish(self, before: dict, catalog: dict, data: dict[str, str], transitions: list[dict] = ()) -> dict:
+        """The next manifest, if no other has taken its place; ``transitions`` are the records that it adds."""
         changed = C.canonical(catalog) != C.canonical(before["catalog"])
         catalog = catalog | {"revision": before["catalog"]["revision"] + changed}
         history = before["history"] + ([{"revision": catalog["revision"], "hash": C.digest(catalog)}] if changed else [])
-        made = {"version": before["version"] + 1, "catalog": catalog, "data": data, "history": history}
+        made = {"version": before["version"] + 1, "catalog": catalog, "data": data, "history": history, "transitions": [*before.get("transitions", []), *(t | {"revision": catalog["revision"]} for t in transitions)]}
         final = self._path(f"{self.folder}/manifests/{made['version']}.json")
         staged = self._path(f"{self.folder}/manifests/.staged-{uuid.uuid4().hex}")
         out = self._fs.create(staged, True)

@@ -135,3 +135,57 @@ def test_migration(db):
     swapped["tables"]["users"]["columns"] = dict(reversed(wanted["tables"]["users"]["columns"].items()))
     with pytest.raises(EngineError, match="unsupported_difference"):
         db.plan(swapped)
+
+
+def test_columns_with_an_id_are_renamed_and_foreign_keys_follow_the_schema(db):
+    import copy
+
+    wanted = copy.deepcopy(SCHEMA)
+    wanted["tables"]["users"]["columns"]["name"] = {"type": "text", "id": "n1"}
+    assert not db.plan(wanted)["destructive"]
+    named = {"tables": {"a": {"columns": {"id": {"type": "int64", "pk": True}, "x": {"type": "text?", "id": "c1"}, "y": {"type": "text?", "id": "c2"}}}} | SCHEMA["tables"]}
+    db.migrate(named)
+    db.execute({"statements": [create("a", b.rows("r", {"id": "int64", "x": "text?", "y": "text?"}, [(1, "one", "u1")]))]})
+    moved = copy.deepcopy(named)
+    moved["tables"]["a"]["columns"] = {"id": {"type": "int64", "pk": True}, "z": {"type": "text?", "id": "c1"}, "x": {"type": "text?", "id": "c2", "ref": "users.id"}}
+    assert [s[0] for s in db.plan(moved)["steps"]] == ["rename_column", "rename_column", "create_foreign_key"]
+    db.migrate(moved)
+    assert db.snapshot().frame("a").collect() == [(1, "one", "u1")] and db.snapshot().frame("a").columns == ["id", "z", "x"]
+    assert not db.plan(moved)["steps"]
+    assert reason(db, mutate("delete", "users", b.project(b.where(b.scan("users", "u"), b.eq("@u.id", "u1")), id="@u.id"))) == "constraint_violation"
+    moved["tables"]["a"]["columns"]["x"] = {"type": "text?", "id": "c2"}
+    assert [s[0] for s in db.plan(moved)["steps"]] == ["delete_foreign_key"]
+
+
+def test_new_foreign_keys_check_the_rows_that_are_there(db):
+    named = {"tables": {"a": {"columns": {"id": {"type": "int64", "pk": True}, "y": "text?"}}} | SCHEMA["tables"]}
+    db.migrate(named)
+    db.execute({"statements": [create("a", b.rows("r", {"id": "int64", "y": "text?"}, [(1, "nobody")]))]})
+    named["tables"]["a"]["columns"]["y"] = {"type": "text?", "ref": "users.id"}
+    with pytest.raises(EngineError, match="constraint_violation"):
+        db.migrate(named)
+
+
+def test_replaced_types_keep_constraints_and_defaults(db):
+    db.migrate({"tables": {"a": {"columns": {"id": {"type": "int64", "pk": True}, "y": {"type": "text?", "unique": True, "default": "7"}}}} | SCHEMA["tables"]})
+    db.execute({"statements": [create("a", b.rows("r", {"id": "int64", "y": "text?"}, [(1, "1"), (2, "01")]))]})
+    change = {"kind": "start_column_replacement", "table": "a", "column": "y", "type": "int64"}
+    assert reason(db, change) == "constraint_violation"
+    wanted = {"tables": {"a": {"columns": {"id": {"type": "int64", "pk": True}, "y": {"type": "int64?", "unique": True}}}} | SCHEMA["tables"]}
+    assert [x[0] for x in db.plan(wanted)["blocking"]] == ["duplicates"]
+    db.execute({"statements": [mutate("update", "a", b.rows("r", {"id": "int64", "y": "text?"}, [(2, "2")]))]})
+    db.execute({"statements": [change, create("a", b.rows("r", {"id": "int64"}, [(3,)]))], "result": "s"})
+    assert sorted(r["y"] for r in db.snapshot().frame("a").collect()) == [1, 2, 7]
+    assert [(t["kind"], t["state"]) for t in db.transitions()] == [("column_replacement", "completed")] and db.transition(1)["table"] == "a"
+    with pytest.raises(EngineError, match="transition_not_active"):
+        db.cancel_transition(1)
+    with pytest.raises(EngineError, match="transition_not_found"):
+        db.transition(9)
+
+
+@pytest.mark.parametrize("text, kind, want", [("12\n", "int64", None), ("+12", "int64", 12), ("1.5d", "float64", None), (" 1.5", "float64", None), ("1e2", "float64", 100.0), ("NaN", "float64", None), ("true", "bool", True)])
+def test_conversions_are_strict(spark, text, kind, want):
+    from lattica.program import converted
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(converted(df["t"], "text", kind)).first()[0] == want
