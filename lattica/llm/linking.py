@@ -22,12 +22,15 @@ from lattica.llm.common import column, cut, in_arrow, names_of, new_path, partit
 _HEAVY = 10_000
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str, few: bool = False) -> DataFrame:
     """``rows`` joined with ``table``, a written table of one row for each key
     with column ``size``, the number of rows that have it.
 
     Heavy keys are joined by broadcast (there are ``_HEAVY`` at most), so
-    their rows stay where they are; all others are dealt by the key."""
+    their rows stay where they are; all others are dealt by the key.  ``few``
+    says that there are too few rows for any key to be heavy."""
+    if few:
+        return rows.join(table, key)
     total, most = table.agg(F.sum(size), F.max(size)).first()
     least = max(1000, (total or 0) // _HEAVY + 1)
     if (most or 0) < least:
@@ -133,27 +136,27 @@ def components(edges: DataFrame) -> DataFrame:
         return cut(df, path=paths[-1])
 
     def least(df: DataFrame) -> DataFrame:
-        return step(df.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        found = df.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        return found if few else step(found)
 
     edges = edges.where("a is not null and b is not null and a != b")
     stars = step(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        old = len(paths)
+        now = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == state or not now[0]:
+            break
+        state, few = now, now[0] < 10_000
         # Large star: every larger neighbour of a node, to the smallest of the node and its neighbours.
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = step(hot_join(both, least(both), "a", "n").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        large = step(hot_join(both, least(both), "a", "n", few).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
         # Small star: every smaller neighbour, and the node itself, to the smallest of them.
         lowest = least(large)
-        down = hot_join(large, lowest, "a", "n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = hot_join(large, lowest, "a", "n", few).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = step(down.union(lowest.select("a", F.col("m").alias("b"))).distinct())
-        for path in paths[: -1]:
+        for path in paths[:-1]:
             remove(spark, path)
         paths = paths[-1:]
-        now = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
