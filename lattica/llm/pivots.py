@@ -30,8 +30,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` nearest pivots of each row, nearest first; of equal ones the first."""
-    return np.argsort(-(_unit(x) @ _unit(pivots).T), axis=1, kind="stable")[:, :k].astype(np.int32)
+    """The ``k`` nearest pivots of each row, nearest first; of equal ones the first.
+
+    Rows are taken in chunks, so that memory does not grow with rows times pivots."""
+    unit, out = _unit(pivots).T, []
+    for at in range(0, len(x), 512):
+        far = -(_unit(x[at : at + 512]) @ unit)
+        if k < far.shape[1]:
+            bound = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+            # Ties on the bound go to the first pivots: the others are put behind.
+            tied = far == bound
+            far[tied & (np.cumsum(tied, axis=1) > k - (far < bound).sum(axis=1, keepdims=True))] = 2.0
+            best = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1)
+        else:
+            best = np.broadcast_to(np.arange(far.shape[1]), far.shape)
+        order = np.argsort(np.take_along_axis(far, best, axis=1), axis=1, kind="stable")
+        out.append(np.take_along_axis(best, order, axis=1))
+    return np.concatenate(out or [np.zeros((0, min(k, len(pivots))), int)]).astype(np.int32)
 
 
 def n_pivots(n: int, most: int = 4096) -> int:

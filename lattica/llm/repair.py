@@ -79,19 +79,18 @@ def _sorted_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, at: np.ndarray, end: int, base: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs at the places ``at`` that may occur ``least`` times, in order, and their places.
-
-    Pairs are first counted by a hash, which leaves nearly all rare ones out."""
-    a, b = left[at], right[at]
-    slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(max(11, 31 - len(at).bit_length()))
-    often = (np.bincount(slot)[slot] >= least) & (a != end) & (b != end) if len(at) else np.zeros(0, bool)
-    at, a, b = at[often], a[often], b[often]
-    if base <= 1 << 16:
-        return _sorted_by((a << np.uint32(16)) | b, at)
-    pairs = (a.astype(np.uint64) << np.uint64(32)) | b
-    order = np.argsort(pairs)
-    return pairs[order], at[order]
+def _grouped(left: np.ndarray, right: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the pairs, equal ones together, and where each different one starts."""
+    if base <= 1 << 16:  # pair and place as one number, which sorts fast
+        both = (((left << np.uint32(16)) | right).astype(np.uint64) << np.uint64(32)) | np.arange(len(left), dtype=np.uint64)
+        both.sort()
+        pairs, order = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+    else:
+        pairs = (left.astype(np.uint64) << np.uint64(32)) | right
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+    new = np.flatnonzero(pairs[1:] != pairs[:-1])
+    return order, np.concatenate(([0], new + 1)) if len(pairs) else np.zeros(0, np.int64)
 
 
 def compress(symbols: np.ndarray, terminals: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -103,27 +102,32 @@ def compress(symbols: np.ndarray, terminals: int, least: int = 8) -> tuple[np.nd
     frequent, so their cost grows with what was replaced.  Rounds end when no
     pair is left to name.  Pairs with the end symbol ``terminals - 1`` never are."""
     end, seq, rules, base = terminals - 1, symbols.astype(np.uint32), [], terminals
-    at = np.arange(len(seq) - 1)
+    at = None  # all places
     while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
-        pairs, at = _frequent(left, right, at, end, base, least)
-        starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, int)
-        counts = np.diff(np.append(starts, len(pairs)))
+        if at is not None:
+            left, right = left[at], right[at]
+        order, starts = _grouped(left, right, base)
+        counts = np.diff(np.append(starts, len(order)))
         many = np.flatnonzero(counts >= least)
+        first = order[starts[many]]
+        open_ = (left[first] != end) & (right[first] != end)
+        many, first = many[open_], first[open_]
         if not len(many):
             break
-        many = many[np.lexsort((pairs[starts[many]], -counts[many]))]
+        by_count = np.lexsort((right[first], left[first], -counts[many]))
+        many, first = many[by_count], first[by_count]
         size = counts[many]
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        hits, of = _sorted_by(at[np.repeat(starts[many], size) + inside], np.repeat(np.arange(len(many)), size))
+        hits = order[np.repeat(starts[many], size) + inside]
+        hits, of = _sorted_by(hits if at is None else at[hits], np.repeat(np.arange(len(many)), size))
         chosen = _apart(hits, of)
         used = np.bincount(of[chosen], minlength=len(many)) >= least
         if not used.any():
             break
         chosen &= used[of]
         number = np.cumsum(used) - 1
-        first = at[starts[many[used]]]
-        rules.append(np.stack([left[first], right[first]], axis=1))
+        rules.append(np.stack([left[first[used]], right[first[used]]], axis=1))
         hits = hits[chosen]
         seq[hits] = (base + number[of[chosen]]).astype(np.uint32)
         keep = np.ones(len(seq), bool)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import binary_list, held_out, learnable, sample_rows
+from lattica.llm.common import binary_list, column, held_out, in_arrow, learnable, sample_rows
 
 #: Punctuation that is cut off words before their surroundings are counted.
 _EDGES = b".,!?;:\"'()[]"
@@ -123,12 +123,15 @@ def calibrate(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], size: int = 8, level: int = 12, dictionary: int = 24_000) -> Model:
-    """Dictionaries from two thirds of the texts of either kind, the curve from the others."""
+def fit(toxic: list[bytes], ordinary: list[bytes], size: int = 8, level: int = 12, dictionary: int = 24_000, most_windows: int = 100_000) -> Model:
+    """Dictionaries from two thirds of the texts of either kind, the curve from
+    the others.  The ordinary dictionary is trained on ``most_windows`` windows
+    at most, taken evenly from all its texts."""
     learn = lambda texts: [t for i, t in enumerate(texts) if i % 3] or texts
     apart = lambda texts: [t for i, t in enumerate(texts) if i % 3 == 0]
     words = toxic_words(learn(toxic), learn(ordinary))
-    plain = [w for t in learn(ordinary) for w in windows(t, size)][:100_000]
+    plain = [w for t in learn(ordinary) for w in windows(t, size)]
+    plain = plain[:: -(-len(plain) // most_windows)] if plain else plain
     model = Model(_trained(plain, dictionary), _trained(_telling_text(learn(toxic), words), dictionary // 2), np.zeros(5), size, level)
     rows, ys, tools = [], [], model.compressors()
     for texts, y in ((apart(toxic), 1), (apart(ordinary), 0)):
@@ -142,15 +145,19 @@ def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """doc_id, held_out, score and predicted of each row, from its whole text.
 
     Labels are learned from at most ``sample`` toxic and twice as many ordinary
-    learnable documents, those whose ids hash lowest; unlabelled rows are only scored.  Null
+    learnable documents, those whose rows hash lowest; of a document's conflicting labels, toxic
+    counts; unlabelled rows are only scored.  Null
     texts count as empty, which have a score as well; without labels of both
     kinds all scores are alike; repeated rows repeat; an empty table gives no
     rows.  The texts are not shuffled; the join for the sample carries ids."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    docs = df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    labelled = labels.select(column(id_col).cast("long").alias("doc_id"), column(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = sample_rows(labelled.where(learnable(F.col("doc_id"))), "y", 2 * sample)
     picked = picked.where(F.col("y") == 0).union(sample_rows(picked.where(F.col("y") == 1), "y", sample))
-    rows = docs.join(F.broadcast(picked), "doc_id").where("text is not null").select("y", "text").collect()  # 3 x sample ids are broadcast
+    found = docs.where("text is not null").join(F.broadcast(picked), "doc_id")  # 3 x sample ids
+    # A repeated id stands for one document, that of the lowest text hash, so that the sample's rows are bounded.
+    lowest = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    rows = lowest.select("y", "least.text").collect()
     texts = {y: sorted(r["text"].encode() for r in rows if r["y"] == y) for y in (0, 1)}
     shuffled = {y: [t[i] for i in np.random.default_rng(5).permutation(len(t))] for y, t in texts.items()}
     model = fit(shuffled[1], shuffled[0], **options)
@@ -162,4 +169,4 @@ def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             score = model.score(np.array(made).reshape(-1, 4))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(2), "score": pa.array(score), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))})
 
-    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("h")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_arrow(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("h")), run, "doc_id long, held_out boolean, score double, predicted int")
