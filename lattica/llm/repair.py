@@ -47,12 +47,16 @@ def _apart(hits: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the places ``hits``, in order, are replaced: no two neighbours,
     and of two neighbours the pair with the lower rank."""
     near = np.diff(hits) == 1
-    # Neighbours of one rank are a run of one symbol: every other pair of it.
-    joins = np.concatenate(([False], near & (rank[1:] == rank[:-1])))
-    start = np.flatnonzero(~joins)
-    odd = (np.arange(len(hits)) - np.repeat(start, np.diff(np.append(start, len(hits))))) % 2 == 1
-    left = np.flatnonzero(~odd)
     chosen = np.zeros(len(hits), bool)
+    # Neighbours of one rank are a run of one symbol: every other pair of it.
+    again = np.flatnonzero(near & (rank[1:] == rank[:-1])) + 1
+    out = np.zeros(len(hits), bool)
+    if len(again):
+        start = np.flatnonzero(np.concatenate(([True], np.diff(again) != 1)))
+        out[again[(np.arange(len(again)) - np.repeat(start, np.diff(np.append(start, len(again))))) % 2 == 0]] = True
+    alone = ~(np.concatenate(([False], near)) | np.append(near, False))
+    chosen[alone] = True
+    left = np.flatnonzero(~(alone | out))
     for turn in range(6):
         if not len(left):
             break
@@ -73,12 +77,6 @@ def _apart(hits: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def _sorted_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both in the order of the keys, which like the values are below 2^32: one sort of both as one number."""
-    both = np.sort((keys.astype(np.uint64) << np.uint64(32)) | values.astype(np.uint64))
-    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
 def _grouped(left: np.ndarray, right: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the pairs, equal ones together, and where each different one starts."""
     if base <= 1 << 16:  # pair and place as one number, which sorts fast
@@ -120,7 +118,10 @@ def compress(symbols: np.ndarray, terminals: int, least: int = 8) -> tuple[np.nd
         size = counts[many]
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         hits = order[np.repeat(starts[many], size) + inside]
-        hits, of = _sorted_by(hits if at is None else at[hits], np.repeat(np.arange(len(many)), size))
+        found = np.full(len(seq), -1, np.int32)
+        found[hits if at is None else at[hits]] = np.repeat(np.arange(len(many), dtype=np.int32), size)
+        hits = np.flatnonzero(found >= 0)
+        of = found[hits]
         chosen = _apart(hits, of)
         used = np.bincount(of[chosen], minlength=len(many)) >= least
         if not used.any():
