@@ -11,10 +11,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s) ")
+# ``_AFTER_SPACE`` for Arrow, with Python's white space as fixed values.
+_AFTER_ANY_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
 def split_pieces(text: str) -> list[str]:
@@ -26,6 +31,17 @@ def split_pieces(text: str) -> list[str]:
     return _CUT.split(text) if _AFTER_SPACE.search(text) else text.split(" ")
 
 
+def _split_all(texts: list[str]) -> tuple[pa.ListArray, list[int]]:
+    """The pieces of each text as ``split_pieces`` has them, and which text each list belongs to."""
+    column = pa.array(texts, pa.large_string())
+    odd = pc.match_substring_regex(column, _AFTER_ANY_SPACE)
+    lists, rest = pc.split_pattern(column.filter(pc.invert(odd)), " "), np.flatnonzero(odd.to_numpy(False)).tolist()
+    order = np.flatnonzero(~odd.to_numpy(False)).tolist() + rest
+    if rest:
+        lists = pa.concat_arrays([lists, pa.array([_CUT.split(texts[k]) for k in rest], lists.type)])
+    return lists, order
+
+
 class Memory:
     """A bounded memory in two generations: when the young one is full it
     becomes the old one, and what is asked for again moves back up."""
@@ -44,15 +60,9 @@ class Memory:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
-    def update(self, found: dict) -> None:
-        """Puts many at once; what goes beyond ``limit`` is not kept."""
-        if len(self.young) + len(found) > self.limit:
-            self.old, self.young = self.young, {}
-        self.young.update(found if len(found) <= self.limit else islice(found.items(), self.limit))
-
 
 class PieceEncoder:
-    """Encodes texts through a memory of at most twice ``limit`` pieces.
+    """Encodes texts through a memory of at most twice ``limit`` pieces and those of one step of texts.
 
     ``encode_many`` maps a list of strings, which join to a text that may be
     cut where they meet, to their ids as little-endian unsigned 32-bit
@@ -68,42 +78,69 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
-    def encode_all(self, texts: Iterable[str | None], step: int = 64) -> Iterator[bytes]:
-        """The ids of each text, null ones as empty; pieces that ``step`` texts lack are encoded together."""
-        texts = iter(texts)
-        while some := [split_pieces(t or "") for t in islice(texts, step)]:
-            firsts = [pieces.pop(0) for pieces in some]
-            known = self.memory.young.get
-            found = [list(map(known, pieces)) for pieces in some]
-            fresh = self._fresh(list({p for pieces, ids in zip(some, found) for p, i in zip(pieces, ids) if i is None}))
-            for first, pieces, ids in zip(firsts, some, found):
-                rest = b"".join([i or fresh[p] for p, i in zip(pieces, ids)])
-                yield self.encode_many([first])[0] + rest if first else rest
-
-    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
+    def encode_all(self, texts: Iterable[str | None], step: int = 2_000_000) -> Iterator[bytes]:
+        """The ids of each text, null ones as empty; texts of ``step`` characters, or one longer text, are encoded together."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1]) + 100
+            if size >= step:
+                yield from self._step(some)
+                some, size = [], 0
+        if some:
+            yield from self._step(some)
+
+    def _step(self, texts: list[str], stretch: int = 1 << 18) -> list[bytes]:
+        """The ids of each text: different pieces are looked up once, and their ids put in all their places."""
+        lists, order = _split_all(texts)
+        starts, flat = lists.offsets.to_numpy(), lists.flatten()
+        later = np.ones(len(flat), bool)
+        later[starts[:-1]] = False
+        firsts = flat.take(pa.array(starts[:-1])).to_pylist()
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        places, found = coded.indices.to_numpy(), self._ids(coded.dictionary.to_numpy(False).tolist())
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = np.cumsum(lengths) - lengths
+        out, n_before = [], np.zeros(len(places) + 1, np.int64)
+        np.cumsum(lengths[places], out=n_before[1:])
+        for k in range(0, len(places), stretch):
+            some = places[k : k + stretch]
+            ends = n_before[k : k + len(some) + 1] - n_before[k]
+            out.append(ids[np.arange(ends[-1]) + np.repeat(at[some] - ends[:-1], lengths[some])])
+        data = memoryview(np.concatenate(out) if out else ids).cast("B")
+        bounds = (4 * n_before[starts - np.arange(len(starts))]).tolist()
+        results = [b""] * len(texts)
+        for k, first, a, b in zip(order, firsts, bounds, bounds[1:]):
+            results[k] = b"".join((self.encode_many([first])[0] if first else b"", data[a:b]))
+        return results
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces, which the memory keeps."""
+        memory = self.memory
+        if len(memory.young) >= memory.limit:
+            memory.old, memory.young = memory.young, {}
+        table = memory.young
+        found = list(map(table.get, pieces))
+        fresh = self._fresh({p for p, ids in zip(pieces, found) if ids is None})
+        if len(fresh) <= memory.limit:
+            table.update({p: ids for p, ids in fresh.items() if len(p) <= self.longest})
+        return [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
+
+    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of pieces that the young memory lacks."""
-        memory, longest, out, missing, marked = self.memory, self.longest, {}, {}, []
-        young, old = memory.young, memory.old
-        for p in pieces:
-            found = old.get(p)
-            if found is not None:
-                out[p] = found
-            elif p[-1:] in (".", ",") and p[:-1].isalpha():
-                marked.append(p)
-                word = p[:-1]
-                found = young.get(word) or old.get(word)
-                if found is None:
-                    missing[word] = None
-                else:
-                    out[word] = found
-            else:
-                missing[p] = None
+        young, old = self.memory.young, self.memory.old
+        new = pieces.difference(old)
+        out = {p: old[p] for p in pieces - new}
+        marked = [p for p in new if p[-1:] in (".", ",") and p[:-1].isalpha()]
+        words = {p[:-1] for p in marked}
+        missing = new.difference(marked) | words.difference(young).difference(old)  # one by one: each looks up the words alone
         if missing:
             out.update(zip(missing, self.encode_many([" " + p for p in missing])))
         for p in marked:
-            mark = p[-1]
+            word, mark = p[:-1], p[-1]
             if mark not in self.marks:
                 self.marks[mark] = self.encode_many([mark])[0]
-            out[p] = out[p[:-1]] + self.marks[mark]
-        memory.update({p: ids for p, ids in out.items() if len(p) <= longest})
+            ids = out.get(word) or young.get(word) or old[word]
+            out[p] = ids + self.marks[mark]
         return out

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import column, in_arrow, kept, new_path, partitions
-from lattica.llm.pieces import PieceEncoder
+from lattica.llm.pieces import Memory, PieceEncoder
 
 MAGIC = b"RPG2"
 HEAD = struct.Struct("<4s4IQ")
@@ -269,8 +269,20 @@ _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 MATCHES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+", re.ASCII).findall
 #: Pieces of ASCII and Latin letters, on which ``MATCHES`` is the pattern whatever the version of Unicode.
 PLAIN = re.compile(rf"[\x00-\x7f{_LETTER}]*").fullmatch
+#: Blanks and letters, which are one match each if a blank only stands in front.
+LETTERS = re.compile(rf"[ {_LETTER}]*").fullmatch
 #: Stands between matches; no byte is written so.
 BORDER = "\uffff"
+# The character that each byte is written as, by number; 255, which UTF-8 never has, is the border.
+_WRITTEN_AS = np.array([ord(BYTES[b]) for b in range(255)] + [ord(BORDER)], "<u4")
+
+
+def _written(matches: list[str]) -> tuple[str, np.ndarray]:
+    """The bytes of the matches as characters, borders between them, and each match's number of bytes."""
+    data = BORDER.join(matches).encode().replace(BORDER.encode(), b"\xff")
+    data = np.frombuffer(data, np.uint8)
+    ends = np.append(np.flatnonzero(data == 255), len(data))
+    return _WRITTEN_AS[data].tobytes().decode("utf-32-le"), np.diff(ends, prepend=-1) - 1
 
 
 def _encoder(path: str) -> tuple[PieceEncoder, int]:
@@ -290,31 +302,49 @@ def _encoder(path: str) -> tuple[PieceEncoder, int]:
     # Byte-level tokens are written one character for each byte; added tokens as they are.
     widths = np.array([len(added[i].encode()) if i in added else len(tokenizer.id_to_token(i) or "") for i in range(size)])
 
-    def ids_of(encoding, lengths: list[int]) -> list[bytes]:
+    def ids_of(encoding, lengths: np.ndarray) -> list[bytes]:
         """The ids of pieces of ``lengths`` bytes: borders of pieces are borders of tokens, found by counting bytes."""
         ids = np.array(encoding.ids, np.uint32)
         ends = (np.searchsorted(np.cumsum(widths[ids]), np.cumsum(lengths)) + 1).tolist()
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        data = memoryview(ids.tobytes())
+        return [bytes(data[4 * a : 4 * b]) for a, b in zip([0, *ends], ends)]
+
+    def merged(matches: list[str]) -> tuple:
+        text, lengths = _written(matches)
+        return merger.encode_batch_fast([text], add_special_tokens=False)[0], lengths
 
     def many(texts: list[str]) -> list[bytes]:
         """Pieces of plain characters are split here and only merged by the library; others take its whole way."""
         if len(texts) == 1 or not all([t[:1] == " " for t in texts]):
             return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words, plain, rest = [], [], []
-        for t in texts:
-            (words if t.isascii() and t[1:].isalpha() else plain if PLAIN(t) and not special(t) else rest).append(t)
+        words = [t for t in texts if t[1:].isalpha()]
+        joined = "".join(words)
+        if not LETTERS(joined) or special(joined):
+            words = [t for t in words if LETTERS(t) and not special(t)]
+        known = set(words)
+        others = [t for t in texts if t not in known]
+        plain = [t for t in others if PLAIN(t) and not special(t)]
+        known.update(plain)
+        rest = [t for t in others if t not in known]
         out: dict[str, bytes] = {}
         if words:
-            text = "".join(words).replace(" ", BORDER + BYTES[32])[1:]
-            out.update(zip(words, ids_of(merger.encode_batch_fast([text], add_special_tokens=False)[0], [len(t) for t in words])))
+            out.update(zip(words, ids_of(*merged(words))))
         if plain:
-            coded = [t.encode() for t in plain]
-            text = BORDER.join([m.encode().decode("latin-1") for t in plain for m in ((t,) if t[1:].isalpha() else MATCHES(t))]).translate(BYTES)
-            out.update(zip(plain, ids_of(merger.encode_batch_fast([text], add_special_tokens=False)[0], [len(c) for c in coded])))
+            split = list(map(MATCHES, plain))
+            young, old = encoder.memory.young, encoder.memory.old
+            found = {}
+            for m in set().union(*split):
+                found[m] = out.get(m) or (young.get(m[1:]) or old.get(m[1:]) if m[0] == " " else bare.young.get(m) or bare.get(m))
+            missing = [m for m, ids in found.items() if not ids]
+            if missing:
+                found.update(zip(missing, ids_of(*merged(missing))))
+            for m in missing:
+                if m[0] != " " and len(m) <= 64:
+                    bare.put(m, found[m])
+            out.update((t, b"".join([found[m] for m in ms])) for t, ms in zip(plain, split))
         if rest:
-            coded = [t.encode() for t in rest]
-            out.update(zip(rest, ids_of(tokenizer.encode_batch_fast(["".join(rest)], add_special_tokens=False)[0], [len(c) for c in coded])))
+            lengths = np.array([len(t.encode()) for t in rest])
+            out.update(zip(rest, ids_of(tokenizer.encode_batch_fast(["".join(rest)], add_special_tokens=False)[0], lengths)))
         return [out[t] for t in texts]
 
     if whole:
@@ -323,7 +353,9 @@ def _encoder(path: str) -> tuple[PieceEncoder, int]:
                 return (array("I", tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts)
 
         return Whole(), size
-    return PieceEncoder(many, limit=600_000), size
+    encoder = PieceEncoder(many, limit=600_000)
+    bare = Memory(100_000)  # matches without a blank in front; the encoder knows the others
+    return encoder, size
 
 
 WRITTEN = "part int, block int, before long, n_ids long, n_docs int, first_id long, last_id long, content binary"
