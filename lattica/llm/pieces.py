@@ -99,8 +99,9 @@ class PieceEncoder:
         firsts = flat.take(pa.array(starts[:-1])).to_pylist()
         coded = flat.filter(pa.array(later)).dictionary_encode()
         places, found = coded.indices.to_numpy(), self._ids(coded.dictionary.to_numpy(False).tolist())
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        kind = np.dtype(np.uint8 if (lengths % 4).any() else np.uint32)  # codes need not be 32-bit ids
+        ids, lengths = np.frombuffer(b"".join(found), kind), lengths // kind.itemsize
         at = np.cumsum(lengths) - lengths
         out, n_before = [], np.zeros(len(places) + 1, np.int64)
         np.cumsum(lengths[places], out=n_before[1:])
@@ -109,7 +110,7 @@ class PieceEncoder:
             ends = n_before[k : k + len(some) + 1] - n_before[k]
             out.append(ids[np.arange(ends[-1]) + np.repeat(at[some] - ends[:-1], lengths[some])])
         data = memoryview(np.concatenate(out) if out else ids).cast("B")
-        bounds = (4 * n_before[starts - np.arange(len(starts))]).tolist()
+        bounds = (kind.itemsize * n_before[starts - np.arange(len(starts))]).tolist()
         results = [b""] * len(texts)
         for k, first, a, b in zip(order, firsts, bounds, bounds[1:]):
             results[k] = b"".join((self.encode_many([first])[0] if first else b"", data[a:b]))
