@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm.batches import BatchEncoder
 from lattica.llm.common import column, in_arrow, kept, new_path, partitions
 from lattica.llm.pieces import Memory, PieceEncoder
 
@@ -353,7 +354,7 @@ def _encoder(path: str) -> tuple[PieceEncoder, int]:
                 return (array("I", tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts)
 
         return Whole(), size
-    encoder = PieceEncoder(many, limit=600_000)
+    encoder = BatchEncoder(many, limit=600_000)
     bare = Memory(100_000)  # matches without a blank in front; the encoder knows the others
     return encoder, size
 
