@@ -612,6 +612,35 @@ def test_pipeline_finds_all_pairs_of_jaccard(spark, sf, odd):
     assert jaccard.classes(empty(odd)).count() == 0 and jaccard.keep_one(odd).columns == odd.columns
 
 
+def test_texts_that_share_frequent_words_make_few_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passages = [" ".join(word() for _ in range(8)) for _ in range(3)]
+    texts = [" ".join(word() for _ in range(6)) + f" {passages[k % 3]} " + " ".join(word() for _ in range(6)) for k in range(900)]
+    texts += [f"{t} {word()}" for t in texts[:20]]
+    seen, verified = [], jaccard._Search.verified
+    monkeypatch.setattr(jaccard._Search, "verified", lambda self, pairs: seen.append(pairs.distinct().count()) or verified(self, pairs))
+    found = dict(jaccard.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert found == {k: k if k < 900 else k - 900 for k in range(920)}
+    assert sum(seen) < 2 * len(texts)
+
+
+def test_slots_and_rarity_lose_no_link():
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        pool = r.integers(-(2**63), 2**63 - 1, 120)
+        a, b = (np.unique(r.choice(pool, r.integers(1, 100))) for _ in range(2))
+        x, y = (jaccard.slots(s).view(np.uint64) for s in (a, b))
+        both = len(np.intersect1d(a, b))
+        assert both <= min(len(a) - np.bitwise_count(x & ~y).sum(), len(b) - np.bitwise_count(y & ~x).sum())
+        frequent = np.unique(r.choice(pool, 30))
+        counts = r.integers(3, 9, len(frequent))
+        first, second = (jaccard.rarest_first(s, frequent, counts) for s in (a, b))
+        assert sorted(first) == a.tolist()
+        if both / (len(a) + len(b) - both) >= 0.5:
+            assert set(jaccard.prefix(first, 0.5)) & set(jaccard.prefix(second, 0.5))
+
+
 def test_texts_that_share_an_id_both_stay(spark):
     a, b = ("one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen sixteen")
     df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, b), (None, a)], "doc_id long, text string")
