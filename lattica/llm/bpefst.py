@@ -117,6 +117,7 @@ class Transducer:
         self.states: list[tuple] = []
         self.index: dict[tuple, int] = {}
         self.steps: dict[int, tuple[int, bytes]] = {}
+        self.ends: dict[int, bytes] = {}  # what a byte at the end of the text still emits
         self._state((-1, (((), 0),)))
 
     def _made(self, token: bytes) -> bool:
@@ -190,10 +191,22 @@ class Transducer:
             return (last, tuple(out)), b""
         return (first[agreed - 1], tuple([(t[agreed:], n) for t, n in out])), b"".join([self.packed[t] for t in first[:agreed]])
 
+    def _end(self, state: tuple, byte: int) -> bytes:
+        """The ids not yet emitted if the text ends with ``byte``, where a token must end."""
+        last, hypotheses = state
+        child, token_at, packed = self.child, self.token_at, self.packed
+        for tokens, node in hypotheses:
+            node = child.get(node << 8 | byte)
+            if node is not None and (token := token_at[node]) >= 0:
+                before = tokens[-1] if tokens else last
+                if before < 0 or self._pairs.get(before << 20 | token) or self._fits(before, token):
+                    return b"".join([packed[t] for t in tokens]) + packed[token] if tokens else packed[token]
+        raise LookupError(byte)
+
     def run(self, data: bytes) -> bytes:
         """The ids of one match of the pattern."""
-        emitted, at, steps, state = [], 0, self.steps, (-1, (((), 0),))
-        for byte in data:
+        emitted, at, steps, index, state = [], 0, self.steps, self.index, (-1, (((), 0),))
+        for byte in data[:-1]:
             if at >= 0:
                 found = steps.get(at << 8 | byte)
                 if found is not None:
@@ -206,11 +219,19 @@ class Transducer:
                     at = then
             else:
                 state, ids = self._step(state, byte)
+                at = index.get(state, -1)  # back among the kept states, if it is one
             if ids:
                 emitted.append(ids)
-        # The text may end only where a token ended: the last hypothesis, which has no open token.
-        rest = (self.states[at] if at >= 0 else state)[1][-1][0]
-        return b"".join(emitted + [self.packed[t] for t in rest])
+        if not data:
+            return b""
+        # After the last byte nothing is open, so no state is made.
+        rest = self.ends.get(at << 8 | data[-1]) if at >= 0 else None
+        if rest is None:
+            rest = self._end(self.states[at] if at >= 0 else state, data[-1])
+            if at >= 0 and len(self.ends) < self.limit:
+                self.ends[at << 8 | data[-1]] = rest
+        emitted.append(rest)
+        return b"".join(emitted)
 
 
 def utf8_whole(data: bytes) -> int:

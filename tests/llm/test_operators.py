@@ -465,6 +465,17 @@ def test_transducer_on_random_text_and_few_states():
     assert len(tight.states) <= 50
 
 
+def test_transducer_keeps_no_states_for_ends_and_returns_to_known_ones():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258}
+    fst = bpefst.Transducer(ranks)
+    assert array("I", fst.run(b"abc")).tolist() == [257] and fst.run(b"") == b"" and array("I", fst.run(b"z")).tolist() == [122]
+    assert len(fst.states) == 3  # the start, after "a" and after "ab"
+    fst = bpefst.Transducer(ranks, limit=2)
+    want = tiktoken.Encoding("t", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode("zabzz" * 20)
+    for _ in range(3):
+        assert array("I", fst.run(b"zabzz" * 20)).tolist() == want
+
+
 def test_pieces_join_to_the_text():
     for text in ("", " ", "a b", "  a  b \n c", "\n \n", " x"):
         first, *rest = pieces.split_pieces(text)
