@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lattica.llm.pieces import _CUT, PieceEncoder
+from lattica.llm.pieces import _CUT
 
 # ``_AFTER_SPACE`` for Arrow, with Python's white space as fixed values.
 _AFTER_ANY_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+_BLANK, _NOTHING = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
 
 
 def _split_all(texts: list[str]) -> tuple[pa.ListArray, list[int]]:
@@ -25,11 +26,66 @@ def _split_all(texts: list[str]) -> tuple[pa.ListArray, list[int]]:
     return lists, order
 
 
-class BatchEncoder(PieceEncoder):
-    """A ``PieceEncoder`` for encoders that cost little a piece; memory is as there, and that of one step of texts."""
+class Known:
+    """Strings and their ids, in numbered places.  ``trim`` bounds them: of
+    more than ``limit`` the half that was asked for last stays, and none of
+    more than ``longest`` bytes."""
 
-    def encode_all(self, texts: Iterable[str | None], step: int = 2_000_000) -> Iterator[bytes]:
-        """The ids of each text, null ones as empty; texts of ``step`` characters, or one longer text, are encoded together."""
+    def __init__(self, limit: int, longest: int = 128):
+        self.limit, self.longest, self.turn = limit, longest, 0
+        self.strings = pa.array([], pa.large_string())
+        self.ids, self.starts, self.lengths, self.asked = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
+
+    def find(self, strings: pa.Array) -> np.ndarray:
+        """The place of each of different strings, -1 if it has none."""
+        # Arrow builds a table of the strings asked for: they are fewer than those known.
+        asked = pc.fill_null(pc.index_in(self.strings, value_set=strings), -1).to_numpy()
+        known = np.flatnonzero(asked >= 0)
+        places = np.full(len(strings), -1, np.int64)
+        places[asked[known]] = known
+        self.asked[known] = self.turn
+        return places
+
+    def add(self, strings: list[str], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The places of strings that had none; ``ids`` are those of all, one after another."""
+        n = len(self.strings)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.strings = pa.concat_arrays([self.strings, pa.array(strings, pa.large_string())])
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+        self.asked = np.append(self.asked, np.full(len(strings), self.turn))
+        return np.arange(n, n + len(strings))
+
+    def gather(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the strings at ``places``, one after another."""
+        lengths = self.lengths[places]
+        ends = np.cumsum(lengths)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[places] - ends + lengths, lengths)]
+
+    def trim(self) -> None:
+        stay = pc.binary_length(self.strings).to_numpy() <= self.longest
+        if len(stay) > self.limit:
+            late = np.zeros(len(stay), bool)
+            late[np.argsort(self.asked, kind="stable")[-(self.limit // 2) or len(stay) :]] = True
+            stay &= late
+        if not stay.all():
+            places = np.flatnonzero(stay)
+            self.ids, self.lengths, self.asked = self.gather(places), self.lengths[places], self.asked[places]
+            self.starts, self.strings = np.cumsum(self.lengths) - self.lengths, self.strings.take(pa.array(places))
+
+
+class BatchEncoder:
+    """Encodes texts through a bounded memory of pieces.
+
+    ``alone`` maps strings to their ids, one array each.  ``learn`` adds
+    pieces, each with the blank before it, to the memory and returns their
+    places.  Memory is that of at most ``limit`` pieces and of one step of texts."""
+
+    def __init__(self, alone: Callable[[list[str]], list[np.ndarray]], learn: Callable[[list[str], Known], np.ndarray], limit: int):
+        self.alone, self.learn, self.known = alone, learn, Known(limit)
+
+    def encode_all(self, texts: Iterable[str | None], step: int = 8_000_000) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers, null ones as empty;
+        texts of ``step`` characters, or one longer text, are encoded together."""
         some, size = [], 0
         for text in texts:
             some.append(text or "")
@@ -42,56 +98,27 @@ class BatchEncoder(PieceEncoder):
 
     def _step(self, texts: list[str], stretch: int = 1 << 18) -> list[bytes]:
         """The ids of each text: different pieces are looked up once, and their ids put in all their places."""
+        known = self.known
+        known.turn += 1
         lists, order = _split_all(texts)
         starts, flat = lists.offsets.to_numpy(), lists.flatten()
         later = np.ones(len(flat), bool)
         later[starts[:-1]] = False
-        firsts = flat.take(pa.array(starts[:-1])).to_pylist()
+        firsts = iter(self.alone([first for first in flat.take(pa.array(starts[:-1])).to_pylist() if first]))
         coded = flat.filter(pa.array(later)).dictionary_encode()
-        places, found = coded.indices.to_numpy(), self._ids(coded.dictionary.to_numpy(False).tolist())
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        kind = np.dtype(np.uint8 if (lengths % 4).any() else np.uint32)  # codes need not be 32-bit ids
-        ids, lengths = np.frombuffer(b"".join(found), kind), lengths // kind.itemsize
-        at = np.cumsum(lengths) - lengths
-        out, n_before = [], np.zeros(len(places) + 1, np.int64)
-        np.cumsum(lengths[places], out=n_before[1:])
-        for k in range(0, len(places), stretch):
-            some = places[k : k + stretch]
-            ends = n_before[k : k + len(some) + 1] - n_before[k]
-            out.append(ids[np.arange(ends[-1]) + np.repeat(at[some] - ends[:-1], lengths[some])])
-        data = memoryview(np.concatenate(out) if out else ids).cast("B")
-        bounds = (kind.itemsize * n_before[starts - np.arange(len(starts))]).tolist()
+        pieces = pc.binary_join_element_wise(_BLANK, coded.dictionary, _NOTHING)
+        places = known.find(pieces)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = self.learn(pieces.take(pa.array(new)).to_pylist(), known)
+        places = places[coded.indices.to_numpy()]
+        n_before = np.concatenate(([0], np.cumsum(known.lengths[places])))
+        out = [known.gather(places[k : k + stretch]) for k in range(0, len(places), stretch)]
+        known.trim()
+        data = memoryview(np.concatenate(out) if out else np.zeros(0, np.uint32)).cast("B")
+        bounds = (4 * n_before[starts - np.arange(len(starts))]).tolist()
         results = [b""] * len(texts)
-        for k, first, a, b in zip(order, firsts, bounds, bounds[1:]):
-            results[k] = b"".join((self.encode_many([first])[0] if first else b"", data[a:b]))
+        begins = pc.binary_length(flat).to_numpy()[starts[:-1]] > 0
+        for k, first, a, b in zip(order, begins.tolist(), bounds, bounds[1:]):
+            results[k] = b"".join((next(firsts), data[a:b])) if first else bytes(data[a:b])
         return results
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of different pieces, which the memory keeps."""
-        memory = self.memory
-        if len(memory.young) >= memory.limit:
-            memory.old, memory.young = memory.young, {}
-        table = memory.young
-        found = list(map(table.get, pieces))
-        fresh = self._fresh({p for p, ids in zip(pieces, found) if ids is None})
-        if len(fresh) <= memory.limit:
-            table.update({p: ids for p, ids in fresh.items() if len(p) <= self.longest})
-        return [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
-
-    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that the young memory lacks."""
-        young, old = self.memory.young, self.memory.old
-        new = pieces.difference(old)
-        out = {p: old[p] for p in pieces - new}
-        marked = [p for p in new if p[-1:] in (".", ",") and p[:-1].isalpha()]
-        words = {p[:-1] for p in marked}
-        missing = new.difference(marked) | words.difference(young).difference(old)  # one by one: each looks up the words alone
-        if missing:
-            out.update(zip(missing, self.encode_many([" " + p for p in missing])))
-        for p in marked:
-            word, mark = p[:-1], p[-1]
-            if mark not in self.marks:
-                self.marks[mark] = self.encode_many([mark])[0]
-            ids = out.get(word) or young.get(word) or old[word]
-            out[p] = ids + self.marks[mark]
-        return out

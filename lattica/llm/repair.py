@@ -33,12 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.batches import BatchEncoder
+from lattica.llm.batches import BatchEncoder, Known
 from lattica.llm.common import column, in_arrow, kept, new_path, partitions
-from lattica.llm.pieces import Memory, PieceEncoder
 
 MAGIC = b"RPG2"
 HEAD = struct.Struct("<4s4IQ")
@@ -286,7 +286,7 @@ def _written(matches: list[str]) -> tuple[str, np.ndarray]:
     return _WRITTEN_AS[data].tobytes().decode("utf-32-le"), np.diff(ends, prepend=-1) - 1
 
 
-def _encoder(path: str) -> tuple[PieceEncoder, int]:
+def _encoder(path: str) -> tuple[BatchEncoder, int]:
     """A worker process keeps its encoder, and the pieces it knows, from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -303,50 +303,64 @@ def _encoder(path: str) -> tuple[PieceEncoder, int]:
     # Byte-level tokens are written one character for each byte; added tokens as they are.
     widths = np.array([len(added[i].encode()) if i in added else len(tokenizer.id_to_token(i) or "") for i in range(size)])
 
-    def ids_of(encoding, lengths: np.ndarray) -> list[bytes]:
-        """The ids of pieces of ``lengths`` bytes: borders of pieces are borders of tokens, found by counting bytes."""
+    def ids_of(encoding, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many of them each string of ``lengths`` bytes has: borders of strings are borders of tokens, found by counting bytes."""
         ids = np.array(encoding.ids, np.uint32)
-        ends = (np.searchsorted(np.cumsum(widths[ids]), np.cumsum(lengths)) + 1).tolist()
-        data = memoryview(ids.tobytes())
-        return [bytes(data[4 * a : 4 * b]) for a, b in zip([0, *ends], ends)]
+        return ids, np.diff(np.searchsorted(np.cumsum(widths[ids]), np.cumsum(lengths)) + 1, prepend=0)
 
-    def merged(matches: list[str]) -> tuple:
-        text, lengths = _written(matches)
-        return merger.encode_batch_fast([text], add_special_tokens=False)[0], lengths
+    def alone(texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text by the library's whole way."""
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def many(texts: list[str]) -> list[bytes]:
+    def learn(texts: list[str], known: Known) -> np.ndarray:
         """Pieces of plain characters are split here and only merged by the library; others take its whole way."""
-        if len(texts) == 1 or not all([t[:1] == " " for t in texts]):
-            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [t for t in texts if t[1:].isalpha()]
-        joined = "".join(words)
+        words = [k for k, t in enumerate(texts) if t[1:].isalpha()]
+        joined = "".join([texts[k] for k in words])
         if not LETTERS(joined) or special(joined):
-            words = [t for t in words if LETTERS(t) and not special(t)]
-        known = set(words)
-        others = [t for t in texts if t not in known]
-        plain = [t for t in others if PLAIN(t) and not special(t)]
-        known.update(plain)
-        rest = [t for t in others if t not in known]
-        out: dict[str, bytes] = {}
-        if words:
-            out.update(zip(words, ids_of(*merged(words))))
-        if plain:
-            split = list(map(MATCHES, plain))
-            young, old = encoder.memory.young, encoder.memory.old
-            found = {}
-            for m in set().union(*split):
-                found[m] = out.get(m) or (young.get(m[1:]) or old.get(m[1:]) if m[0] == " " else bare.young.get(m) or bare.get(m))
-            missing = [m for m, ids in found.items() if not ids]
-            if missing:
-                found.update(zip(missing, ids_of(*merged(missing))))
-            for m in missing:
-                if m[0] != " " and len(m) <= 64:
-                    bare.put(m, found[m])
-            out.update((t, b"".join([found[m] for m in ms])) for t, ms in zip(plain, split))
+            words = [k for k in words if LETTERS(texts[k]) and not special(texts[k])]
+        kind = np.zeros(len(texts), np.uint8)
+        kind[words] = 1
+        plain, ended, rest = [], [], []
+        for k in np.flatnonzero(kind == 0).tolist():
+            text = texts[k]
+            # White space at the end could go on in the next piece, if the two were joined.
+            (ended if text[-1].isspace() else plain if PLAIN(text) and not special(text) else rest).append(k)
+        places = np.zeros(len(texts), np.int64)
+        if ended:
+            some = [texts[k] for k in ended]
+            ids = alone(some)
+            places[ended] = known.add(some, np.concatenate(ids), np.array([len(x) for x in ids]))
         if rest:
-            lengths = np.array([len(t.encode()) for t in rest])
-            out.update(zip(rest, ids_of(tokenizer.encode_batch_fast(["".join(rest)], add_special_tokens=False)[0], lengths)))
-        return [out[t] for t in texts]
+            some = [texts[k] for k in rest]
+            encoding = tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
+            places[rest] = known.add(some, *ids_of(encoding, np.array([len(t.encode()) for t in some])))
+        split = pa.array(MATCHES("".join([texts[k] for k in plain])), pa.large_string()).dictionary_encode()
+        found = known.find(split.dictionary)
+        missing = np.flatnonzero(found < 0)
+        # The words and the matches that are not known, which may be words of this call.
+        merge = dict.fromkeys([texts[k] for k in words])
+        wanted = split.dictionary.take(pa.array(missing)).to_pylist()
+        merge.update(dict.fromkeys(wanted))
+        if merge:
+            strings = list(merge)
+            text, lengths = _written(strings)
+            at = known.add(strings, *ids_of(merger.encode_batch_fast([text], add_special_tokens=False)[0], lengths))
+            places[words] = at[: len(words)]
+            number = dict(zip(strings, at.tolist()))
+            found[missing] = [number[m] for m in wanted]
+        if plain:
+            some = [texts[k] for k in plain]
+            codes = split.indices.to_numpy()
+            each = found[codes]
+            stops = np.searchsorted(np.cumsum(pc.utf8_length(split.dictionary).to_numpy()[codes]), np.cumsum([len(t) for t in some])) + 1
+            at = each[stops - 1]  # right for pieces of one match
+            several = np.flatnonzero(np.diff(stops, prepend=0) > 1)
+            if len(several):
+                n = np.diff(np.cumsum(known.lengths[each])[stops - 1], prepend=0)
+                of_several = np.repeat(np.diff(stops, prepend=0) > 1, np.diff(stops, prepend=0))
+                at[several] = known.add([some[k] for k in several.tolist()], known.gather(each[of_several]), n[several])
+            places[plain] = at
+        return places
 
     if whole:
         class Whole:
@@ -354,9 +368,7 @@ def _encoder(path: str) -> tuple[PieceEncoder, int]:
                 return (array("I", tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts)
 
         return Whole(), size
-    encoder = BatchEncoder(many, limit=600_000)
-    bare = Memory(100_000)  # matches without a blank in front; the encoder knows the others
-    return encoder, size
+    return BatchEncoder(alone, learn, limit=1_200_000), size
 
 
 WRITTEN = "part int, block int, before long, n_ids long, n_docs int, first_id long, last_id long, content binary"

@@ -1,6 +1,7 @@
 """Each operator against a plain version of what it computes, and the odd rows."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -85,6 +86,33 @@ def test_shards_split_like_the_library():
     assert list(repair._encoder(P.path("byte_bpe_50k.json"))[0].encode_all(texts)) == want
 
 
+def test_pieces_with_white_space_at_the_end_are_not_joined(tmp_path):
+    made = json.load(open(P.path("byte_bpe_50k.json")))
+    made["model"]["vocab"]["ĠĠ"] = 50256  # blanks that merge
+    made["added_tokens"][0]["id"] = 50257
+    made["model"]["merges"].append("Ġ Ġ" if isinstance(made["model"]["merges"][0], str) else ["Ġ", "Ġ"])
+    path = f"{tmp_path}/blanks.json"
+    json.dump(made, open(path, "w"))
+    tokenizer = Tokenizer.from_file(path)
+    texts = [t for k in range(40) for t in (f"a 中{'é' * k}\n ", f"b  中{'ñ' * k}", f"c x{k}\t ", f"d   y{k}")]
+    want = [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert tokenizer.encode("   a").ids[0] == 50256
+    assert list(repair._encoder(path)[0].encode_all(texts)) == want
+
+
+def test_known_strings_are_bounded_and_forgotten_ones_come_again():
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encoder = repair._encoder(P.path("byte_bpe_50k.json"))[0]
+    encoder.known.limit = 20
+    r = random.Random(3)
+    some = ["the", "cat.", "sat,\non", "12a", "été", "中", "x" * 300, "!?", "", "a\n", "(b)", "cat", ".", "<|endoftext|>"]
+    for _ in range(60):
+        texts = [" ".join(r.choice(some) + r.choice(["", "", str(r.randint(0, 30))]) for _ in range(r.randint(0, 12))) for _ in range(4)]
+        assert list(encoder.encode_all(texts, 300)) == [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+        known = encoder.known.strings.to_pylist()
+        assert len(known) == len(set(known)) <= 20 and all(len(s) <= 128 for s in known)
+
+
 def test_repair_is_lossless_and_reads_at_random():
     r = np.random.default_rng(1)
     docs = [r.integers(0, 4, n).astype("<u4") for n in (0, 1, 2, 3, 500, 3000)] + [np.zeros(999, "<u4")]
