@@ -73,6 +73,29 @@ class Known:
             self.starts, self.strings = np.cumsum(self.lengths) - self.lengths, self.strings.take(pa.array(places))
 
 
+def by_matches(known: Known, texts: list[str], matches: list[str], merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Adds ``texts``, whose ``matches`` stand one after another, and returns their places.
+
+    Matches that are not known go to ``merge``, which gives all their ids and each one's number of ids."""
+    split = pa.array(matches, pa.large_string()).dictionary_encode()
+    codes, found = split.indices.to_numpy(), known.find(split.dictionary)
+    missing = np.flatnonzero(found < 0)
+    if len(missing):
+        strings = split.dictionary.take(pa.array(missing)).to_pylist()
+        found[missing] = known.add(strings, *merge(strings))
+    each = found[codes]
+    ends = np.cumsum([len(t) for t in texts])
+    stops = np.searchsorted(np.cumsum(pc.utf8_length(split.dictionary).to_numpy()[codes]), ends) + 1
+    n_matches = np.diff(stops, prepend=0)
+    places = each[stops - 1]  # right for texts of one match
+    several = np.flatnonzero(n_matches > 1)
+    if len(several):
+        lengths = np.diff(np.cumsum(known.lengths[each])[stops - 1], prepend=0)
+        ids = known.gather(each[np.repeat(n_matches > 1, n_matches)])
+        places[several] = known.add([texts[k] for k in several.tolist()], ids, lengths[several])
+    return places
+
+
 class BatchEncoder:
     """Encodes texts through a bounded memory of pieces.
 

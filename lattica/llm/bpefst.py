@@ -16,9 +16,11 @@ import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lattica.llm.batches import BatchEncoder, Known, by_matches
 from lattica.llm.common import column, in_arrow, kept
 from lattica.llm.pieces import Memory, PieceEncoder
 
@@ -272,9 +274,10 @@ class Codec:
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer(ranks, int(300_000 * memory))
+        self.transducer = Transducer(ranks, int(260_000 * memory))
         self.known = Memory(int(200_000 * memory))
         self.pieces = PieceEncoder(lambda texts: [b"".join(map(self.match, self.split(t))) for t in texts], limit=int(300_000 * memory))
+        self.batches = BatchEncoder(lambda texts: [np.frombuffer(b"".join(map(self.match, self.split(t))), "<u4") for t in texts], self._learn, limit=int(600_000 * memory))
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -290,9 +293,30 @@ class Codec:
                 self.known.put(text, ids)
         return ids
 
+    def _runs(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of different matches, and how many each has."""
+        ids = [self.transducer.run(m.encode()) for m in matches]
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+    def _learn(self, texts: list[str], known: Known) -> np.ndarray:
+        """Adds pieces to the memory; white space at the end of one could go on in the next if the two were joined."""
+        joined = [k for k, t in enumerate(texts) if not t[-1].isspace()]
+        ended = [k for k, t in enumerate(texts) if t[-1].isspace()]
+        some = [texts[k] for k in joined + ended]
+        matches = self.split("".join(some[: len(joined)]))
+        for text in some[len(joined) :]:
+            matches += self.split(text)
+        places = np.zeros(len(texts), np.int64)
+        places[joined + ended] = by_matches(known, some, matches, self._runs)
+        return places
+
     def encode(self, text: str) -> bytes:
         return self.pieces.encode(text)
 
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each of many texts, null ones as empty."""
+        return self.batches.encode_all(texts, step=4_000_000)
+
     def decode(self, ids: bytes, step: int = 65_536) -> Iterator[str]:
         """Texts that join to the decoded text, from ``step`` ids at a time."""
         numbers, decoder = array("I"), StreamDecoder(self.bytes_of)
@@ -318,7 +342,7 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
         codec = kept(key, lambda: Codec(load_ranks(ranks), pattern, memory))
         for batch in batches:
             counts, hashed, decoded = [], [], []
-            for ids in codec.pieces.encode_all(t.as_py() for t in batch.column(1)):
+            for ids in codec.encode_all(t.as_py() for t in batch.column(1)):
                 counts.append(len(ids) // 4)
                 hashed.append(hashlib.sha256(ids).hexdigest())
                 digest = hashlib.sha256()

@@ -33,11 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.batches import BatchEncoder, Known
+from lattica.llm.batches import BatchEncoder, Known, by_matches
 from lattica.llm.common import column, in_arrow, kept, new_path, partitions
 
 MAGIC = b"RPG2"
@@ -308,6 +307,10 @@ def _encoder(path: str) -> tuple[BatchEncoder, int]:
         ids = np.array(encoding.ids, np.uint32)
         return ids, np.diff(np.searchsorted(np.cumsum(widths[ids]), np.cumsum(lengths)) + 1, prepend=0)
 
+    def merged(matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text, lengths = _written(matches)
+        return ids_of(merger.encode_batch_fast([text], add_special_tokens=False)[0], lengths)
+
     def alone(texts: list[str]) -> list[np.ndarray]:
         """The ids of each text by the library's whole way."""
         return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -334,32 +337,10 @@ def _encoder(path: str) -> tuple[BatchEncoder, int]:
             some = [texts[k] for k in rest]
             encoding = tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
             places[rest] = known.add(some, *ids_of(encoding, np.array([len(t.encode()) for t in some])))
-        split = pa.array(MATCHES("".join([texts[k] for k in plain])), pa.large_string()).dictionary_encode()
-        found = known.find(split.dictionary)
-        missing = np.flatnonzero(found < 0)
-        # The words and the matches that are not known, which may be words of this call.
-        merge = dict.fromkeys([texts[k] for k in words])
-        wanted = split.dictionary.take(pa.array(missing)).to_pylist()
-        merge.update(dict.fromkeys(wanted))
-        if merge:
-            strings = list(merge)
-            text, lengths = _written(strings)
-            at = known.add(strings, *ids_of(merger.encode_batch_fast([text], add_special_tokens=False)[0], lengths))
-            places[words] = at[: len(words)]
-            number = dict(zip(strings, at.tolist()))
-            found[missing] = [number[m] for m in wanted]
-        if plain:
-            some = [texts[k] for k in plain]
-            codes = split.indices.to_numpy()
-            each = found[codes]
-            stops = np.searchsorted(np.cumsum(pc.utf8_length(split.dictionary).to_numpy()[codes]), np.cumsum([len(t) for t in some])) + 1
-            at = each[stops - 1]  # right for pieces of one match
-            several = np.flatnonzero(np.diff(stops, prepend=0) > 1)
-            if len(several):
-                n = np.diff(np.cumsum(known.lengths[each])[stops - 1], prepend=0)
-                of_several = np.repeat(np.diff(stops, prepend=0) > 1, np.diff(stops, prepend=0))
-                at[several] = known.add([some[k] for k in several.tolist()], known.gather(each[of_several]), n[several])
-            places[plain] = at
+        some = [texts[k] for k in words] + [texts[k] for k in plain]
+        if some:
+            matches = some[: len(words)] + MATCHES("".join(some[len(words) :]))
+            places[words + plain] = by_matches(known, some, matches, merged)
         return places
 
     if whole:

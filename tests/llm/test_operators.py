@@ -504,6 +504,31 @@ def test_transducer_keeps_no_states_for_ends_and_returns_to_known_ones():
         assert array("I", fst.run(b"zabzz" * 20)).tolist() == want
 
 
+def test_transducer_runs_once_for_a_match_of_many_texts(monkeypatch):
+    ranks, plain = coding()
+    codec = bpefst.Codec(ranks, P.PATTERN, memory=0.01)
+    runs, run = [], codec.transducer.run
+    monkeypatch.setattr(codec.transducer, "run", lambda data: runs.append(data) or run(data))
+    r = random.Random(5)
+    some = ["".join(r.choice("abeilnorstü") for _ in range(8)) for _ in range(2500)]
+    texts = ["x " + " ".join(w + r.choice(["", "!"]) for w in r.sample(some, 2500)) for _ in range(5)] + [None, "", " ", "é\n ", "  日本 \t "]
+    encode = getattr(codec, "encode_all", codec.pieces.encode_all)
+    assert [x for t in texts for x in encode([t])] == [array("I", plain.encode_ordinary(t or "")).tobytes() for t in texts]
+    words = [m for m in runs if m.strip().decode() in set(some)]
+    assert len(words) == len(set(words)) == len(set(some))
+
+
+def test_many_random_texts_encode_like_the_library_with_little_memory():
+    ranks, plain = coding()
+    r = random.Random(11)
+    alphabet = "aab'stre  \n\t\x1c\x85\u180e\u200béß日本語 12🎈!?-_.ſ\u2028\u3000"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    codec = bpefst.Codec(ranks, P.PATTERN, memory=0.0001)
+    want = [array("I", plain.encode_ordinary(t)).tobytes() for t in texts]
+    assert [x for k in range(0, 3000, 500) for x in codec.encode_all(texts[k : k + 500])] == want
+    assert len(codec.batches.known.strings) <= 60
+
+
 def test_pieces_join_to_the_text():
     for text in ("", " ", "a b", "  a  b \n c", "\n \n", " x"):
         first, *rest = pieces.split_pieces(text)
