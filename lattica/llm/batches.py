@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,16 +73,22 @@ class Known:
             self.starts, self.strings = np.cumsum(self.lengths) - self.lengths, self.strings.take(pa.array(places))
 
 
-def by_matches(known: Known, texts: list[str], matches: list[str], merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Adds ``texts``, whose ``matches`` stand one after another, and returns their places.
+def by_matches(known: Known, texts: list[str], matches: list[str], merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], words: Sequence[str] = ()) -> np.ndarray:
+    """Adds ``words``, different texts of one match each, and ``texts``, whose
+    ``matches`` stand one after another; returns the places of both.
 
     Matches that are not known go to ``merge``, which gives all their ids and each one's number of ids."""
     split = pa.array(matches, pa.large_string()).dictionary_encode()
     codes, found = split.indices.to_numpy(), known.find(split.dictionary)
     missing = np.flatnonzero(found < 0)
+    wanted = split.dictionary.take(pa.array(missing)).to_pylist()
+    strings = list(dict.fromkeys([*words, *wanted]))  # a match may be one of the words
+    added = known.add(strings, *merge(strings)) if strings else missing
     if len(missing):
-        strings = split.dictionary.take(pa.array(missing)).to_pylist()
-        found[missing] = known.add(strings, *merge(strings))
+        number = dict(zip(strings, added.tolist()))
+        found[missing] = [number[m] for m in wanted]
+    if not texts:
+        return added[: len(words)]
     each = found[codes]
     ends = np.cumsum([len(t) for t in texts])
     stops = np.searchsorted(np.cumsum(pc.utf8_length(split.dictionary).to_numpy()[codes]), ends) + 1
@@ -93,7 +99,7 @@ def by_matches(known: Known, texts: list[str], matches: list[str], merge: Callab
         lengths = np.diff(np.cumsum(known.lengths[each])[stops - 1], prepend=0)
         ids = known.gather(each[np.repeat(n_matches > 1, n_matches)])
         places[several] = known.add([texts[k] for k in several.tolist()], ids, lengths[several])
-    return places
+    return np.concatenate([added[: len(words)], places])
 
 
 class BatchEncoder:

@@ -122,15 +122,17 @@ def compress(symbols: np.ndarray, terminals: int, least: int = 8) -> tuple[np.nd
         found[hits if at is None else at[hits]] = np.repeat(np.arange(len(many), dtype=np.int32), size)
         hits = np.flatnonzero(found >= 0)
         of = found[hits]
-        chosen = _apart(hits, of)
-        used = np.bincount(of[chosen], minlength=len(many)) >= least
+        chosen = np.flatnonzero(_apart(hits, of))
+        hits, of = hits[chosen], of[chosen]
+        used = np.bincount(of, minlength=len(many)) >= least
         if not used.any():
             break
-        chosen &= used[of]
+        if not used.all():
+            stay = used[of]
+            hits, of = hits[stay], of[stay]
         number = np.cumsum(used) - 1
         rules.append(np.stack([left[first[used]], right[first[used]]], axis=1))
-        hits = hits[chosen]
-        seq[hits] = (base + number[of[chosen]]).astype(np.uint32)
+        seq[hits] = (base + number).astype(np.uint32)[of]
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]
@@ -337,10 +339,9 @@ def _encoder(path: str) -> tuple[BatchEncoder, int]:
             some = [texts[k] for k in rest]
             encoding = tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
             places[rest] = known.add(some, *ids_of(encoding, np.array([len(t.encode()) for t in some])))
-        some = [texts[k] for k in words] + [texts[k] for k in plain]
-        if some:
-            matches = some[: len(words)] + MATCHES("".join(some[len(words) :]))
-            places[words + plain] = by_matches(known, some, matches, merged)
+        if words or plain:
+            some = [texts[k] for k in plain]
+            places[words + plain] = by_matches(known, some, MATCHES("".join(some)), merged, [texts[k] for k in words])
         return places
 
     if whole:
