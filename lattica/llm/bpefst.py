@@ -274,10 +274,10 @@ class Codec:
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer(ranks, int(260_000 * memory))
+        self.transducer = Transducer(ranks, int(200_000 * memory))
         self.known = Memory(int(200_000 * memory))
         self.pieces = PieceEncoder(lambda texts: [b"".join(map(self.match, self.split(t))) for t in texts], limit=int(300_000 * memory))
-        self.batches = BatchEncoder(lambda texts: [np.frombuffer(b"".join(map(self.match, self.split(t))), "<u4") for t in texts], self._learn, limit=int(600_000 * memory))
+        self.batches = BatchEncoder(lambda texts: [np.frombuffer(b"".join(map(self.match, self.split(t))), "<u4") for t in texts], self._learn, limit=int(500_000 * memory))
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -315,7 +315,7 @@ class Codec:
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each of many texts, null ones as empty."""
-        return self.batches.encode_all(texts, step=4_000_000)
+        return self.batches.encode_all(texts, step=2_000_000)
 
     def decode(self, ids: bytes, step: int = 65_536) -> Iterator[str]:
         """Texts that join to the decoded text, from ``step`` ids at a time."""
